@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, secrets
 from .common import table
 
 QUERIES = {}
@@ -19,3 +19,11 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_line_first_quality"] = op10_line_first_quality
 ORACLE_SQL["op10_line_first_quality"] = quality.ORACLE_SQL
+
+
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op5_secret_ownership"] = op5_secret_ownership
+ORACLE_SQL["op5_secret_ownership"] = secrets.ORACLE_SQL
