@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
+from . import quality, secrets, simhash
 from .common import table
 
 QUERIES = {}
@@ -27,3 +27,10 @@ def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_secret_ownership"] = op5_secret_ownership
 ORACLE_SQL["op5_secret_ownership"] = secrets.ORACLE_SQL
+
+
+def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op7_simhash_tiles"] = op7_simhash_tiles
