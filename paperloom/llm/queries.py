@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, simhash
+from . import packing, quality, secrets, simhash
 from .common import table
 
 QUERIES = {}
@@ -34,3 +34,10 @@ def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_simhash_tiles"] = op7_simhash_tiles
+
+
+def op8_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_linear_grouping_packing"] = op8_linear_grouping_packing
