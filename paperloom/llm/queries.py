@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash
+from . import archives, packing, quality, secrets, simhash
 from .common import table
 
 QUERIES = {}
@@ -41,3 +41,12 @@ def op8_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_linear_grouping_packing"] = op8_linear_grouping_packing
+
+
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.convert_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op3_arc_to_warc"] = op3_arc_to_warc
+ORACLE_SQL["op3_arc_to_warc"] = archives.ORACLE_SQL
