@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, packing, quality, secrets, simhash
+from . import archives, packing, quality, secrets, simhash, templates
 from .common import table
 
 QUERIES = {}
@@ -50,3 +50,10 @@ def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_arc_to_warc"] = op3_arc_to_warc
 ORACLE_SQL["op3_arc_to_warc"] = archives.ORACLE_SQL
+
+
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+QUERIES["op4_template_decontamination"] = op4_template_decontamination
