@@ -94,20 +94,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def argmin_runs(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of x that have their minimum in one place: place, first and last window start.
+def window_runs(x: np.ndarray, width: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows x[i:i + width] with their least value in one place: place, first and last start.
 
-    The leftmost of equal minima counts; x is compared by its high bits.
+    Only starts in the ranges first..last (exclusive, ascending) count, and runs
+    stay within a range. Values are compared by their high 32 bits, the leftmost
+    of equals wins: the place depends on what the window holds and nothing else.
     """
-    bits = np.uint64(max(1, int(len(x)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    least = sliding_min((x & ~low) | np.arange(len(x), dtype=np.uint64), width)
-    if not len(least):
+    high = np.uint64(0xFFFFFFFF00000000)
+    least = sliding_min((x & high) | np.arange(len(x), dtype=np.uint64), width)
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    some = last > first
+    first, last = first[some], last[some]
+    if not len(first):
         none = np.zeros(0, np.int64)
         return none, none, none
-    place = (least & low).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    return place[first], first, np.concatenate([first[1:] - 1, [len(place) - 1]])
+    size = last - first
+    at = np.repeat(first, size) + spread(size)
+    place = place[at]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
+    fresh[np.cumsum(size) - size] = True
+    begin = np.flatnonzero(fresh)
+    return place[begin], at[begin], at[np.concatenate([begin[1:] - 1, [len(at) - 1]])]
 
 
 def spread(counts: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, packing, quality, secrets, simhash, templates
+from . import archives, packing, quality, secrets, simhash, suffixes, templates
 from .common import table
 
 QUERIES = {}
@@ -57,3 +57,10 @@ def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_template_decontamination"] = op4_template_decontamination
+
+
+def op9_suffix_interval_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES["op9_suffix_interval_dedup"] = op9_suffix_interval_dedup
