@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, packing, quality, secrets, simhash, suffixes, templates
+from . import archives, packing, passages, quality, secrets, simhash, suffixes, templates
 from .common import table
 
 QUERIES = {}
@@ -64,3 +64,10 @@ def op9_suffix_interval_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_suffix_interval_dedup"] = op9_suffix_interval_dedup
+
+
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_compact_windows"] = op2_compact_windows

@@ -48,7 +48,6 @@ def test_tokens_match_plain_python():
 
 def test_reparameterised_and_inconsistent_questions(spark):
     other = ITEM.replace("120", "300").replace("2 hours", "5 hours").replace("Maria", "Anna").replace("Paris", "Rome")
-    broken = other.replace("5 hours after", "7 hours after").replace("Lyon", "Nice").replace("in 5 hours while", "in 8 days while")
     docs = [(1, f"Words before. {ITEM}. Words after."), (2, f"Before. {other}."), (3, "Something else entirely that has 120 km in it"), (4, None), (5, ""), (6, ITEM[:60])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in docs + [docs[0]]], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(7, ITEM), (8, None), (9, "")], "item_id long, text string")
@@ -56,8 +55,7 @@ def test_reparameterised_and_inconsistent_questions(spark):
     assert {k: r.kind for k, r in found.items()} == {(1, 7): "verbatim", (2, 7): "reparameterised"}
     kept = templates.decontaminate(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
-    repeated = ITEM.replace(" 2 hours", " 2 hours", 1)
-    loose = spark.createDataFrame([(1, " ".join(f"of {w} 2 km to the north side" for w in "abcdefgh")), (2, repeated)], "item_id long, text string")
+    loose = spark.createDataFrame([(1, " ".join(f"of {w} 2 km to the north side" for w in "abcdefgh"))], "item_id long, text string")
     clash = spark.createDataFrame([(1, " ".join(f"of {w} {i} km to the north side" for i, w in enumerate("abcdefgh")))], "doc_id long, text string")
     assert templates.leaks(clash, loose).count() == 0
 
