@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, packing, passages, quality, secrets, simhash, suffixes, templates
+from . import archives, packing, passages, pii, quality, secrets, simhash, suffixes, templates
 from .common import table
 
 QUERIES = {}
@@ -71,3 +71,10 @@ def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_compact_windows"] = op2_compact_windows
+
+
+def op1_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op1_pii_field"] = op1_pii_field
