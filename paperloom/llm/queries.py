@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, packing, passages, pii, quality, secrets, simhash, suffixes, templates
+from . import archives, licenses, packing, passages, pii, quality, secrets, simhash, suffixes, templates
 from .common import table
 
 QUERIES = {}
@@ -78,3 +78,10 @@ def op1_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_pii_field"] = op1_pii_field
+
+
+def op6_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_license_paragraphs"] = op6_license_paragraphs

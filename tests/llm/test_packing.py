@@ -53,3 +53,15 @@ def test_pieces_equal_the_tokenizer_and_fill_sequences(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fast_and_slow_encoders_agree():
+    encoder = packing.Encoder(packing.tokenizer_spec())
+    assert encoder.fast is not None
+    rng = random.Random(9)
+    parts = ["'s", "'ll", "'LL", " ", "  ", "\n", "\t", "é", "日本", "😀", "1", "12", "...", "a", "Word", "\x85", " ", "\x1c", "<|endoftext|>", "'", "ß"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(20_000)] + ["a" * 20_000, " " * 5000 + "x"]
+    fast = encoder.encode(texts)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    assert fast == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
