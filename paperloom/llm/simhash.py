@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import chunks, words
@@ -117,17 +117,19 @@ def fingerprint_chunk(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): a 64-bit SimHash of each row's word shingles.
+    """(doc_id, text_key, fp): a 64-bit SimHash of each row's word shingles.
 
     A null or wordless text has fingerprint zero; fp is the signed long.
+    text_key is xxhash64 of doc_id and text.
     """
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in chunks(batch):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprint_chunk(data, offsets).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(fingerprint_chunk(data, offsets).view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    t = text_of(text)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), t).alias("text_key"), t.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def star(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +190,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs.
+    """(doc_id, text_key, fp, root, component_id) for each row of docs.
 
+    root is a fingerprint of the component.
     component_id is the smallest doc_id that can be reached over links of up
     to radius differing bits, the row's own included; null ids count only
     where a component has no other. Null and wordless texts share fingerprint
@@ -200,8 +203,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = components(links(fps.select("fp"), radius))
     rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component, that with the smallest doc_id; all columns stay.
+
+    Among rows with this id the text with the smallest key stays, and of
+    equal rows any one.
+    """
+    found = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("root").agg(F.min("text_key").alias("_key")).select("_key").distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), text_of(text))).join(keep, "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(doc_id)))
+    return keyed.withColumn("_n", first).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
