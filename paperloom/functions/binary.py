@@ -88,7 +88,7 @@ def data_url(name: Column, content: Column) -> Column:
     """A data URL with the MIME type that the file name's suffix says."""
     suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z]+)$", 1))
     mime = F.when(suffix.isin("jpg", "jpeg"), "image/jpeg").when(suffix == "gif", "image/gif").when(suffix == "bmp", "image/bmp").otherwise("image/png")
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
 
 def is_image(content: Column) -> Column:

@@ -1,20 +1,30 @@
-"""Registry of the queries for the reference's own operators, and their SQL."""
+"""Registry of the queries for the reference's own operators, and their SQL.
+
+The given tables hold no office documents. So each query runs an operator of
+the document pipeline on a table that carries the shape it needs: turns of a
+conversation are paragraphs, lines of an order are records or cells.
+"""
 
 from __future__ import annotations
 
-from paperloom.functions import text as tx
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import binary as bn
+from paperloom.functions import text as tx
+from paperloom.operators import edits as ed
+from paperloom.operators import lookups as lk
+from paperloom.operators import windows as wn
+
 QUERIES = {}
 ORACLE_SQL = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -24,11 +34,354 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# SQL for what several queries share.
 _CLEAN = r"""regexp_replace(text, '[^\P{C}\n\r\t]|[\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g')"""
 _LINES = rf"""list_filter(list_transform(regexp_split_to_array({_CLEAN}, '\r\n|\r|\n'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '')"""
+_LINE_ROWS = f"SELECT doc_id, line, CAST(pos - 1 AS BIGINT) AS pos FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {_LINES} AS l FROM documents))"
+
+
+def _count(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
 
+def _score(x: str, more: str = "0") -> str:
+    h, a = _count(x, "[가-힣]"), _count(x, "[A-Za-z0-9]")
+    return f"CASE WHEN {h} >= 2 THEN {h} * 60 + {a} * 10 + least(length({x}), 80) + {more} WHEN {a} >= 4 THEN {a} * 24 + least(length({x}), 80) + {more} ELSE 0 END"
 
-@query("visible_paragraph_counts", f"SELECT doc_id, CAST(len({_LINES}) AS BIGINT) AS n_visible FROM documents")
+
+_MORE = f"{_count('line', ' ')} * 4 + {_count('line', '[!-/:-@[-`{-~·…“”‘’]')} * 6 - length(regexp_replace(line, '[가-힣\\x21-\\x7e \\n\\t]+', '', 'g')) * 60"
+_SEGMENTS = rf"""SELECT doc_id, seg, pos, {_score('seg')} AS score FROM (SELECT doc_id, trim(unnest(s), ' ' || chr(9) || chr(10)) AS seg, generate_subscripts(s, 1) AS pos
+  FROM (SELECT doc_id, regexp_split_to_array(array_to_string({_LINES}, chr(10)), '[^가-힣\x21-\x7e \n\t]+') AS s FROM documents))"""
+
+
+def lines(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(tx.visible_lines("text")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"SELECT doc_id, CAST(len({_LINES}) AS BIGINT) AS n_visible FROM documents")
 def visible_paragraph_counts(spark, sf_dir):
     """F1, A1: how many lines of each document stay visible."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.visible_lines("text")).cast("long").alias("n_visible"))
+
+
+@query(f"SELECT doc_id, array_to_string({_LINES}, chr(10)) AS clean FROM documents")
+def strip_control_lines(spark, sf_dir):
+    """T1."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.strip_control_codes("text").alias("clean"))
+
+
+@query(_LINE_ROWS)
+def paragraph_explode(spark, sf_dir):
+    """Lines as rows with their ordinals."""
+    return lines(spark, sf_dir)
+
+
+@query(f"SELECT doc_id, pos, CAST({_score('line')} AS BIGINT) AS score, CAST({_score('line', _MORE)} AS BIGINT) AS full_score, ({_score('line', _MORE)}) >= 120 AS accepted FROM ({_LINE_ROWS})")
+def text_scores(spark, sf_dir):
+    """T4, T5, T6."""
+    line = F.col("line")
+    return lines(spark, sf_dir).select("doc_id", "pos", tx.segment_score(line).cast("long").alias("score"), tx.text_score(line).cast("long").alias("full_score"), (tx.text_score(line) >= tx.ACCEPTED).alias("accepted"))
+
+
+@query(f"SELECT doc_id, seg AS best FROM ({_SEGMENTS}) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(seg) DESC, pos) = 1")
+def best_text_segment(spark, sf_dir):
+    """T2, T3, A7."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.meaningful_text("text").alias("best")).where("best <> ''")
+
+
+@query(f"SELECT doc_id, seg AS segment, CAST(score AS BIGINT) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(seg) DESC, pos) AS rank FROM ({_SEGMENTS}) WHERE score > 0) WHERE rank <= 5")
+def top_segments(spark, sf_dir):
+    """O1, O2: the five best segments of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(tx.ranked_segments("text"), 1, 5)).alias("k", "s"))
+    return docs.select("doc_id", F.col("s.segment").alias("segment"), (-F.col("s.score")).cast("long").alias("score"), (F.col("k") + 1).cast("long").alias("rank"))
+
+
+@query(f"SELECT doc_id, arg_max(line, {_count('line', '[A-Za-z0-9]')} * 1000000000000 + length(line) * 1000000 - pos) AS line FROM ({_LINE_ROWS}) GROUP BY doc_id")
+def metadata_argmax(spark, sf_dir):
+    """The line with most letters and digits, the longer and then the first on ties."""
+    rank = F.struct(tx.count_of("line", tx.ASCII_WORD), F.length("line"), -F.col("pos"))
+    return lines(spark, sf_dir).groupBy("doc_id").agg(F.max_by("line", rank).alias("line"))
+
+
+@query(f"SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text_decoded FROM (SELECT doc_id, line, min(pos) AS pos FROM ({_LINE_ROWS}) GROUP BY doc_id, line) GROUP BY doc_id")
+def dedup_join_text(spark, sf_dir):
+    """A2, A3."""
+    return wn.joined_texts(lines(spark, sf_dir), ["doc_id"], "pos", F.col("line"))
+
+
+@query(f"SELECT doc_id, pos, line FROM ({_LINE_ROWS}) WHERE NOT (NOT regexp_matches(line, '[가-힣]') AND (pos % 7 = 1 OR (length(line) <= 32 AND NOT regexp_matches(line, '[0-9]'))))")
+def noise_filter(spark, sf_dir):
+    """what stays of paragraphs before an image; every seventh line carries a control tag."""
+    tags = F.array(F.when(F.col("pos") % 7 == 1, F.lit(71)).otherwise(F.lit(66)))
+    control = F.array(*[F.lit(t) for t in wn.CONTROL_TAGS])
+    return lines(spark, sf_dir).where(~tx.is_noise_before_image(F.col("line"), tags, control))
+
+
+@query("SELECT conv_id, turn, sum(CASE WHEN role = 'user' AND rn > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS paragraph FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)")
+def paragraph_islands(spark, sf_dir):
+    """A user's turn opens a group."""
+    return wn.islands(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") == "user", "paragraph").select("conv_id", "turn", "paragraph")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role <> 'system' THEN row_number() OVER (PARTITION BY conv_id, seg, role ORDER BY turn) || '.' END AS marker_text FROM (SELECT *, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seg FROM conversations)")
+def list_markers(spark, sf_dir):
+    """Counts by role, anew after a system turn."""
+    return wn.numbered_markers(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") == "system", ["role"]).select("conv_id", "turn", "marker_text")
+
+
+@query("SELECT conv_id, turn, substr(role, 1, 1) || row_number() OVER (PARTITION BY conv_id, substr(role, 1, 1) ORDER BY turn) AS node_id FROM conversations")
+def node_ids(spark, sf_dir):
+    """W11."""
+    return wn.node_ids(table(spark, sf_dir, "conversations").withColumn("p", F.substring("role", 1, 1)), ["conv_id"], "p", ["turn"]).select("conv_id", "turn", "node_id")
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE turn <= last")
+def trim_trailing_empty(spark, sf_dir):
+    """turns behind the last user's count as empty."""
+    return wn.trim_trailing(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") != "user").select("conv_id", "turn")
+
+
+_BLOCKS = """SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'table' WHEN turn % 4 = 3 THEN 'image' ELSE 'paragraph' END AS block_type, CASE WHEN turn % 5 = 1 THEN '' ELSE text END AS text, CASE WHEN turn % 4 = 2 THEN 'image_control_visible_text' ELSE 'bodytext_paragraph_records' END AS text_origin FROM conversations"""
+
+
+@query(f"""WITH b AS ({_BLOCKS}),
+a AS (SELECT *, max(CASE WHEN block_type <> 'paragraph' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS special FROM b),
+c AS (SELECT * FROM a WHERE NOT (special = 1 AND block_type = 'paragraph' AND trim(text) = '')),
+d AS (SELECT *, max(CASE WHEN block_type = 'paragraph' AND trim(text) <> '' AND text_origin <> 'image_control_visible_text' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS r, lead(block_type) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM c)
+SELECT conv_id, turn, block_type, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block_index FROM d WHERE NOT (r = 1 AND block_type = 'paragraph' AND text_origin = 'image_control_visible_text' AND coalesce(nx = 'image', false))""")
+def block_cleanup(spark, sf_dir):
+    """F6, W10."""
+    turn = F.col("turn")
+    kind = F.when(F.col("role") == "system", "table").when(turn % 4 == 3, "image").otherwise("paragraph")
+    blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("block_type"), F.when(turn % 5 == 1, "").otherwise(F.col("text")).alias("text"), F.when(turn % 4 == 2, "image_control_visible_text").otherwise("bodytext_paragraph_records").alias("text_origin"))
+    return wn.clean_blocks(blocks, ["conv_id"], ["turn"]).select("conv_id", "turn", "block_type", "block_index")
+
+
+@query("""SELECT l.conv_id, l.turn, r.turn AS template_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations WHERE turn > 0) l
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) r USING (conv_id, role, n)""")
+def ordinal_template_join(spark, sf_dir):
+    """Turns but the first against all, by role."""
+    turns = table(spark, sf_dir, "conversations")
+    return lk.ordinal_join(turns.where("turn > 0"), turns, ["conv_id", "role"], "turn", ["turn"]).select("conv_id", "turn", "template_turn")
+
+
+@query("SELECT l_orderkey, l_linenumber, w & 1023 AS tag_id, (w >> 10) & 1023 AS level, (w >> 20) & 4095 AS size FROM (SELECT l_orderkey, l_linenumber, (l_partkey % 1024) | (CAST(l_linenumber AS BIGINT) << 10) | ((l_suppkey % 4096) << 20) AS w FROM lineitem)")
+def record_header_bits(spark, sf_dir):
+    """Packs and unpacks record headers."""
+    word = (F.col("l_partkey") % 1024).bitwiseOR(F.shiftleft(F.col("l_linenumber").cast("long"), 10)).bitwiseOR(F.shiftleft(F.col("l_suppkey") % 4096, 20))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bn.record_header(word).alias("h")).select("l_orderkey", "l_linenumber", "h.*")
+
+
+@query("SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS sha256, substr(lower(hex(encode(html))), 1, 128) AS preview FROM pages")
+def stream_metadata(spark, sf_dir):
+    """K2, S9."""
+    return table(spark, sf_dir, "pages").select("page_id", bn.stream_metadata(F.col("html").cast("binary")).alias("m")).select("page_id", "m.*")
+
+
+@query("SELECT page_id, CAST('0x' || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS first_u16, CAST('0x' || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) AS BIGINT) AS second_u32 FROM (SELECT page_id, hex(encode(html)) AS h FROM pages)")
+def little_endian_words(spark, sf_dir):
+    """B1."""
+    html = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", F.get(bn.u16_list(html), 0).alias("first_u16"), bn.u32_at(html, 4).alias("second_u32"))
+
+
+@query("SELECT page_id, 'data:image/png;base64,' || base64(encode(html)) AS url, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages")
+def data_urls(spark, sf_dir):
+    """Bytes as a data URL and back."""
+    url = bn.data_url(F.lit("page.png"), F.col("html").cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.octet_length(bn.data_url_bytes(url)).cast("long").alias("n_bytes"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS leaf FROM pages")
+def path_leaf(spark, sf_dir):
+    """The last component."""
+    return table(spark, sf_dir, "pages").select("page_id", lk.leaf(F.col("url")).alias("leaf"))
+
+
+@query("""WITH w AS (SELECT DISTINCT regexp_extract(url, '([^/]*/[^/]*)$', 1) AS suffix FROM pages), u AS (SELECT DISTINCT url FROM pages),
+f AS (SELECT suffix, count(url) AS matches, min(url) AS one FROM w LEFT JOIN u ON url = suffix OR ends_with(url, '/' || suffix) GROUP BY suffix)
+SELECT suffix, CAST(matches AS BIGINT) AS matches, CASE WHEN matches = 1 THEN one END AS resolved FROM f""")
+def suffix_resolve_unique(spark, sf_dir):
+    """Resolves the last two components of each URL among all URLs."""
+    pages = table(spark, sf_dir, "pages")
+    return lk.resolve_suffix(pages.select(F.regexp_extract("url", "([^/]*/[^/]*)$", 1).alias("suffix")), pages.select(F.col("url").alias("path")))
+
+
+@query("SELECT host, arg_min(url, lower(url) || chr(0) || url) AS first_path FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, url FROM pages) GROUP BY host")
+def first_binary_ref(spark, sf_dir):
+    """The first URL of each host."""
+    return lk.first_stream(table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)), "host", "url")
+
+
+@query(r"""SELECT page_id, CAST(k - 1 AS BIGINT) AS ord, CASE regexp_extract(b, '<(h1|p|li)', 1) WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list_item' ELSE 'paragraph' END AS block_type, trim(regexp_replace(b, '<[^>]*>', '', 'g')) AS text
+FROM (SELECT page_id, unnest(m) AS b, generate_subscripts(m, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h1|p|li)(?:\s[^>]*)?>.*?</(?:h1|p|li)>') AS m FROM pages))""")
+def page_blocks(spark, sf_dir):
+    """Blocks of a page in document order."""
+    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h1|p|li)(?:\s[^>]*)?>.*?</(?:h1|p|li)>"), F.lit(0))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("ord", "b"))
+    tag = F.regexp_extract("b", "<(h1|p|li)", 1)
+    kind = F.when(tag == "h1", "heading").when(tag == "li", "list_item").otherwise("paragraph")
+    return rows.select("page_id", F.col("ord").cast("long").alias("ord"), kind.alias("block_type"), F.trim(F.regexp_replace("b", "<[^>]*>", "")).alias("text"))
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Events as records of a stream for each user."""
+    e, u = F.col("event_id"), F.col("user_id")
+    tags = F.array(*[F.lit(t).cast("long") for t in (71, 77, 71, 76, 85, 72, 67)])
+    control = F.when((e + u) % 5 == 0, "header").when((e + u) % 5 == 1, "footer")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.get(tags, ((e * 13 + u * 7) % 7).cast("int")).alias("tag_id"), (F.floor(e / 3) % 4).alias("level"), control.alias("control"))
+
+
+_RECORDS = "SELECT user_id, event_id, [71, 77, 71, 76, 85, 72, 67][CAST((event_id * 13 + user_id * 7) % 7 AS INTEGER) + 1] AS tag_id, (event_id // 3) % 4 AS level, CASE (event_id + user_id) % 5 WHEN 0 THEN 'header' WHEN 1 THEN 'footer' END AS control FROM events"
+
+
+@query(f"SELECT user_id, event_id FROM (SELECT *, lead(tag_id) OVER w AS t, lead(level) OVER w AS l FROM ({_RECORDS}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE tag_id = 71 AND t = 77 AND l = 2")
+def table_starts(spark, sf_dir):
+    """W4."""
+    return wn.table_starts(_records(spark, sf_dir), ["user_id"], ["event_id"]).where("table_start").select("user_id", "event_id")
+
+
+@query(f"""SELECT user_id, event_id FROM (SELECT *, lead(tag_id) OVER w AS t, lead(level) OVER w AS l, lead(tag_id, 2) OVER w AS two,
+  max(CASE WHEN tag_id = 76 AND level = 2 THEN 1 ELSE 0 END) OVER f AS a, max(CASE WHEN tag_id = 85 AND level >= 3 THEN 1 ELSE 0 END) OVER f AS b
+  FROM ({_RECORDS}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING))
+WHERE tag_id = 71 AND level = 1 AND NOT coalesce(t = 77 AND l = 2, false) AND a = 1 AND b = 1 AND two IS NOT NULL""")
+def image_starts(spark, sf_dir):
+    """W5."""
+    return wn.image_starts(_records(spark, sf_dir), ["user_id"], ["event_id"]).where("image_start").select("user_id", "event_id")
+
+
+@query(f"""WITH i AS (SELECT *, sum(CASE WHEN level < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM ({_RECORDS})),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY event_id) AS k, first(CASE WHEN tag_id = 71 AND level = 1 THEN control END) OVER (PARTITION BY user_id, g ORDER BY event_id) AS kind FROM i)
+SELECT user_id, event_id, kind IS NOT NULL AS consumed, CASE WHEN k > 1 AND NOT (k = 2 AND tag_id = 72 AND level = 2) THEN kind END AS region FROM n""")
+def header_regions(spark, sf_dir):
+    """W6, F3, A8."""
+    return wn.control_regions(_records(spark, sf_dir), ["user_id"], ["event_id"]).select("user_id", "event_id", "consumed", "region")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN c BETWEEN 1 AND 2 THEN c - 1 END::BIGINT AS cell FROM (SELECT *, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS c FROM lineitem)")
+def cell_regions(spark, sf_dir):
+    """W7, W8."""
+    return wn.cell_regions(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_returnflag") == "N", F.lit(2)).select("l_orderkey", "l_linenumber", "cell")
+
+
+@query("SELECT l_orderkey, l_linenumber, NOT (first(h) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) >= 2 AND h = 0) AS accepted FROM (SELECT *, CAST(l_quantity AS BIGINT) % 4 AS h FROM lineitem)")
+def exclusive_hangul(spark, sf_dir):
+    """The quantity stands for the number of syllables."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("h", F.col("l_quantity").cast("long") % 4)
+    return wn.exclusive_hangul(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "h").select("l_orderkey", "l_linenumber", "accepted")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(sum(s) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - s AS BIGINT) AS column_index FROM (SELECT *, 1 + CAST(l_quantity AS BIGINT) % 3 AS s FROM lineitem)")
+def grid_positions(spark, sf_dir):
+    """W13."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("s", 1 + F.col("l_quantity").cast("long") % 3)
+    return wn.grid_positions(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "s").select("l_orderkey", "l_linenumber", "column_index")
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) = 'N' AS more FROM lineitem GROUP BY l_orderkey, l_linenumber),
+i AS (SELECT *, sum(CASE WHEN more AND l_linenumber = prev + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS prev FROM c))
+SELECT l_orderkey, l_linenumber, CASE WHEN NOT more THEN count(*) OVER (PARTITION BY l_orderkey, g) END AS rowspan FROM i""")
+def vmerge_rowspans(spark, sf_dir):
+    """J11, R5."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"))
+    rows = rows.select("l_orderkey", "l_linenumber", F.lit(0).alias("column_index"), F.lit(1).alias("colspan"), F.when(F.col("f") == "N", "continue").otherwise("restart").alias("m"))
+    return wn.merged_rowspans(rows, ["l_orderkey"], "l_linenumber", F.col("m")).select("l_orderkey", "l_linenumber", "rowspan")
+
+
+_CELLS = "SELECT l_orderkey, (l_linenumber - 1) // 3 AS r, (l_linenumber - 1) % 3 AS c, 1 + CAST(l_quantity AS BIGINT) % 2 AS cs, 1 + l_partkey % 2 AS rs, l_linenumber FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT l_orderkey, r, c, cs, rs, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY r, c, cs, rs, l_linenumber) AS k FROM ({_CELLS})),
+t AS (SELECT l_orderkey, k, [{{'r': r, 'c': c, 'cs': cs, 'rs': rs}}] AS kept, l_linenumber, true AS stays FROM g WHERE k = 1
+UNION ALL SELECT g.l_orderkey, g.k, CASE WHEN len(list_filter(t.kept, lambda x: g.r >= x.r AND g.r < x.r + x.rs AND g.c >= x.c AND g.c < x.c + x.cs)) > 0 THEN t.kept ELSE list_append(t.kept, {{'r': g.r, 'c': g.c, 'cs': g.cs, 'rs': g.rs}}) END, g.l_linenumber,
+  len(list_filter(t.kept, lambda x: g.r >= x.r AND g.r < x.r + x.rs AND g.c >= x.c AND g.c < x.c + x.cs)) = 0 FROM t JOIN g ON g.l_orderkey = t.l_orderkey AND g.k = t.k + 1)
+SELECT l_orderkey, l_linenumber FROM t WHERE stays""")
+def covered_cells(spark, sf_dir):
+    """Cells that no earlier kept cell covers, as the writer of tables keeps them."""
+    n = F.col("l_linenumber").cast("long") - 1
+    cell = F.struct(F.floor(n / 3).alias("row_index"), (n % 3).alias("column_index"), (1 + F.col("l_quantity").cast("long") % 2).alias("colspan"), (1 + F.col("l_partkey") % 2).alias("rowspan"), "l_linenumber")
+    grids = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(cell).alias("cells"))
+    return grids.select("l_orderkey", F.explode(lk.kept_cells("cells")).alias("c")).select("l_orderkey", "c.l_linenumber")
+
+
+@query("""SELECT o_orderkey, row_index, list_transform(list_sort(coalesce(list({'a': l_suppkey, 'b': l_returnflag}) FILTER (WHERE l_orderkey IS NOT NULL), [])), lambda x: x.a || x.b) AS cells
+FROM (SELECT o_orderkey, unnest(range(0, o_orderkey % 5)) AS row_index FROM orders) LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber - 1 = row_index GROUP BY o_orderkey, row_index""")
+def row_scaffold(spark, sf_dir):
+    """A4, G5."""
+    tables = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("row_count"))
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") - 1).cast("long").alias("row_index"), F.col("l_suppkey").alias("column_index"), F.col("l_returnflag").alias("text"))
+    return lk.row_scaffold(tables, cells, ["o_orderkey"]).select("o_orderkey", "row_index", F.transform("cells", lambda c: F.concat(c["column_index"].cast("string"), c["text"])).alias("cells"))
+
+
+@query("""SELECT l_orderkey, CASE WHEN max(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END) = 1 THEN 'text_paragraph'
+  WHEN bool_and(t IN (66, 68, 69)) AND max(l) <= 1 THEN 'empty_paragraph' WHEN bool_or(l_returnflag = 'R') THEN 'unknown_paragraph'
+  WHEN bool_or(t IN (71, 73, 74, 75, 76, 85)) OR max(l) >= 2 THEN 'control_paragraph' ELSE 'unknown_paragraph' END AS paragraph_type
+FROM (SELECT *, [66, 68, 69, 66, 67, 71, 85][l_linenumber] AS t, (l_linenumber * l_suppkey) % 3 AS l FROM lineitem) GROUP BY l_orderkey""")
+def paragraph_classify(spark, sf_dir):
+    """F2, G8."""
+    tags = F.array(*[F.lit(t) for t in (66, 68, 69, 66, 67, 71, 85)])
+    said = F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 2 == 0), "text").otherwise("")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.get(tags, F.col("l_linenumber") - 1).alias("tag_id"), ((F.col("l_linenumber") * F.col("l_suppkey")) % 3).alias("level"), F.when(F.col("l_returnflag") == "R", said).alias("text"))
+    return wn.paragraph_types(rows, ["l_orderkey"])
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS style_index FROM part")
+def style_index(spark, sf_dir):
+    """W3."""
+    return wn.style_index(table(spark, sf_dir, "part"), ["p_brand"], "p_type", ["p_partkey"]).select("p_partkey", "style_index")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, s_name FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON l_suppkey = s_suppkey")
+def style_lookup(spark, sf_dir):
+    """Every third style is missing."""
+    styles = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return lk.style_lookup(table(spark, sf_dir, "lineitem"), styles, ["l_suppkey"]).select("l_orderkey", "l_linenumber", "l_suppkey", "s_name")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40)")
+def body_anti_filter(spark, sf_dir):
+    """J4, J3."""
+    consumed = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return lk.not_consumed(table(spark, sf_dir, "orders"), consumed, ["o_orderkey"]).select("o_orderkey", "o_orderpriority")
+
+
+@query("""WITH s AS (SELECT n_nationkey AS style_id, n_nationkey AS num FROM nation WHERE n_nationkey % 2 = 0), p AS (SELECT c_custkey, c_nationkey, c_mktsegment, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END, num) AS num FROM customer LEFT JOIN s ON c_nationkey = style_id)
+SELECT c_custkey, CAST(0 AS BIGINT) AS level, coalesce(CASE r_name WHEN 'AFRICA' THEN 'bullet' WHEN 'ASIA' THEN NULL ELSE CASE WHEN r_name IS NOT NULL THEN 'numbered' END END, CASE WHEN lower('List ' || c_mktsegment) LIKE 'list bu%' THEN 'bullet' WHEN lower('List ' || c_mktsegment) LIKE 'list number%' THEN 'numbered' END) AS kind
+FROM p LEFT JOIN nation ON num = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""".replace("LIKE 'list bu%'", "LIKE 'list bullet%'"))
+def numbering_chain(spark, sf_dir):
+    """Customers are paragraphs, nations lists and styles, regions abstract lists."""
+    one = F.lit(0).alias("doc_id")
+    null = F.lit(None).cast("int")
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    paragraphs = table(spark, sf_dir, "customer").select(one, "c_custkey", F.col("c_nationkey").alias("style_id"), F.concat(F.lit("List "), "c_mktsegment").alias("style_name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("num_id"), null.alias("ilvl"))
+    styles = nations.where("n_nationkey % 2 = 0").select(one, F.col("n_nationkey").alias("style_id"), F.col("n_nationkey").alias("num_id"), null.alias("ilvl"))
+    abstracts = nations.select(one, F.col("n_nationkey").alias("num_id"), F.col("n_regionkey").alias("abstract_id"))
+    formats = regions.select(one, F.col("r_regionkey").alias("abstract_id"), F.lit(0).alias("ilvl"), F.when(F.col("r_name") == "AFRICA", "bullet").when(F.col("r_name") == "ASIA", "none").otherwise("decimal").alias("format"))
+    return lk.numbering_kind(paragraphs, styles, abstracts, formats).select("c_custkey", F.col("level").cast("long").alias("level"), "kind")
+
+
+@query("SELECT p_partkey, CASE WHEN round_even(e / 9525, 0) > 0 THEN CAST(round_even(e / 9525, 0) AS BIGINT) END AS px FROM (SELECT p_partkey, (p_partkey * 9525) // 2 - 9525 AS e FROM part)")
+def emu_to_px(spark, sf_dir):
+    """B10."""
+    return table(spark, sf_dir, "part").select("p_partkey", bn.emu_to_px(F.floor(F.col("p_partkey") * 9525 / 2) - 9525).alias("px"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE p & 12 WHEN 4 THEN 'left' WHEN 8 THEN 'right' WHEN 12 THEN 'center' END AS alignment, (f & 131072) <> 0 AS bold, round_even((s // 65536) / 100.0, 2)::DOUBLE AS font_size_pt,
+  CASE WHEN f > 0 AND ((f >> 16) & 65535) > 0 THEN (f >> 16) & 65535 END AS numbering_ref, CASE WHEN f > 0 AND ((f >> 16) & 65535) > 0 THEN f & 65535 END AS level
+FROM (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey * 65536 + l_partkey % 7 AS s, (l_suppkey % 9) * 65536 + l_linenumber AS f FROM lineitem)""")
+def style_bits(spark, sf_dir):
+    """B2, B3, B6."""
+    flags = (F.col("l_suppkey") % 9) * 65536 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bn.alignment(F.col("l_partkey")).alias("alignment"), bn.char_shape(F.col("l_suppkey") * 65536 + F.col("l_partkey") % 7, flags).alias("c"), bn.list_bits(flags).alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", "alignment", "c.*", "b.numbering_ref", "b.level")
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS seq, event_type, event_id % 11 AS node, CASE event_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'bold' WHEN 2 THEN 'align' WHEN 3 THEN 'list' WHEN 4 THEN 'text' ELSE 'size' END AS op, CAST(event_id AS VARCHAR) AS v FROM events)
+SELECT user_id, node, arg_max(v, seq) FILTER (WHERE op = 'text') AS text, arg_max(v, seq) FILTER (WHERE op = 'align') AS align, arg_max(v, seq) FILTER (WHERE op = 'size') AS size, arg_max(v, seq) FILTER (WHERE op = 'list') AS list, (count_if(op = 'bold') % 2) = 1 AS bold FROM e GROUP BY user_id, node""")
+def edit_fold(spark, sf_dir):
+    """The state that an edit log leaves each node in."""
+    e = F.col("event_id")
+    ops = F.array(*[F.lit(x) for x in ("text", "bold", "align", "list", "text", "size")])
+    log = table(spark, sf_dir, "events").select("user_id", e.alias("seq"), (e % 11).alias("node"), F.get(ops, (e % 6).cast("int")).alias("op"), e.cast("string").alias("value"))
+    return ed.fold(log, ["user_id", "node"]).select("user_id", "node", "text", "align", "size", "list", "bold")
