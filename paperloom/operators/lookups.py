@@ -9,6 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Numbering formats that count, and those that show a mark.
+NUMBERED_FORMATS = (
+    "aiueo", "arabicAbjad", "arabicAlpha", "cardinalText", "chicago", "decimal", "decimalEnclosedCircle", "decimalEnclosedFullstop", "decimalEnclosedParen", "decimalFullWidth",
+    "decimalFullWidth2", "decimalHalfWidth", "decimalZero", "ganada", "hebrew1", "hebrew2", "hindiConsonants", "hindiNumbers", "hindiVowels", "ideographDigital",
+    "ideographEnclosedCircle", "ideographLegalTraditional", "ideographTraditional", "iroha", "irohaFullWidth", "japaneseCounting", "japaneseDigitalTenThousand", "japaneseLegal",
+    "koreanCounting", "koreanDigital", "koreanDigital2", "koreanLegal", "lowerLetter", "lowerRoman", "ordinal", "ordinalText", "russianLower", "russianUpper", "taiwaneseCounting",
+    "taiwaneseCountingThousand", "taiwaneseDigital", "thaiCounting", "thaiLetters", "thaiNumbers", "upperLetter", "upperRoman", "vietnameseCounting",
+)
+BULLETED_FORMATS = ("bullet", "picture")
+
 
 def style_lookup(df: DataFrame, styles: DataFrame, on: list[str]) -> DataFrame:
     """Left join: a reference without a style keeps the row, with null attributes."""
@@ -29,8 +39,8 @@ def numbering_kind(paragraphs: DataFrame, style_numbers: DataFrame, abstracts: D
     df = df.join(abstracts.withColumnRenamed("num_id", "_num"), [doc, "_num"], "left")
     df = df.join(formats.withColumnRenamed("ilvl", "level"), [doc, "abstract_id", "level"], "left")
     name = F.lower(F.coalesce("style_name", F.lit("")))
-    by_name = F.when(name.startswith("list number"), "numbered").when(name.startswith("list bullet"), "bullet")
-    by_format = F.when(F.col("format") == "bullet", "bullet").when(F.col("format").isNotNull() & (F.col("format") != "none"), "numbered")
+    by_name = F.when(name.startswith("list number"), "numbered").when(name.startswith("list bullet"), "bulleted")
+    by_format = F.when(F.col("format").isin(*BULLETED_FORMATS), "bulleted").when(F.col("format").isin(*NUMBERED_FORMATS), "numbered")
     return df.withColumn("kind", F.coalesce(by_format, by_name)).drop("_style_num", "_style_level", "_num")
 
 

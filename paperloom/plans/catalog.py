@@ -347,7 +347,7 @@ def body_anti_filter(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT n_nationkey AS style_id, n_nationkey AS num FROM nation WHERE n_nationkey % 2 = 0), p AS (SELECT c_custkey, c_nationkey, c_mktsegment, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END, num) AS num FROM customer LEFT JOIN s ON c_nationkey = style_id)
-SELECT c_custkey, CAST(0 AS BIGINT) AS level, coalesce(CASE r_name WHEN 'AFRICA' THEN 'bullet' WHEN 'ASIA' THEN NULL ELSE CASE WHEN r_name IS NOT NULL THEN 'numbered' END END, CASE WHEN lower('List ' || c_mktsegment) LIKE 'list bu%' THEN 'bullet' WHEN lower('List ' || c_mktsegment) LIKE 'list number%' THEN 'numbered' END) AS kind
+SELECT c_custkey, CAST(0 AS BIGINT) AS level, coalesce(CASE r_name WHEN 'AFRICA' THEN 'bulleted' WHEN 'ASIA' THEN NULL ELSE CASE WHEN r_name IS NOT NULL THEN 'numbered' END END, CASE WHEN lower('List ' || c_mktsegment) LIKE 'list bu%' THEN 'bulleted' WHEN lower('List ' || c_mktsegment) LIKE 'list number%' THEN 'numbered' END) AS kind
 FROM p LEFT JOIN nation ON num = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""".replace("LIKE 'list bu%'", "LIKE 'list bullet%'"))
 def numbering_chain(spark, sf_dir):
     """Customers are paragraphs, nations lists and styles, regions abstract lists."""
