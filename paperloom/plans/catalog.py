@@ -7,14 +7,18 @@ conversation are paragraphs, lines of an order are records or cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import binary as bn
 from paperloom.functions import text as tx
+from paperloom.operators import editor as et
 from paperloom.operators import edits as ed
 from paperloom.operators import lookups as lk
 from paperloom.operators import windows as wn
+from paperloom.sources import containers as ct
+from paperloom.sources import docx_writer as dw
+from paperloom.sources import records as rc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -385,3 +389,64 @@ def edit_fold(spark, sf_dir):
     ops = F.array(*[F.lit(x) for x in ("text", "bold", "align", "list", "text", "size")])
     log = table(spark, sf_dir, "events").select("user_id", e.alias("seq"), (e % 11).alias("node"), F.get(ops, (e % 6).cast("int")).alias("op"), e.cast("string").alias("value"))
     return ed.fold(log, ["user_id", "node"]).select("user_id", "node", "text", "align", "size", "list", "bold")
+
+
+@query(f"SELECT doc_id, pos, line AS text, pos % 3 = 0 AS bold FROM ({_LINE_ROWS})")
+def docx_round_trip(spark, sf_dir):
+    """Documents written as word-processing files and read back, a paragraph for each line."""
+    run = F.struct(F.col("line").alias("text"), (F.col("pos") % 3 == 0).alias("bold"), F.lit(None).cast("double").alias("size"))
+    cells = F.array().cast("array<struct<row_index:int,column_index:int,colspan:int,rowspan:int,text:string>>")
+    blocks = lines(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("body").alias("region"), F.col("pos").cast("int").alias("ord"), F.lit("paragraph").alias("kind"), F.array(run).alias("runs"), F.lit("left").alias("alignment"),
+        F.lit(None).cast("string").alias("list_kind"), F.lit(None).cast("int").alias("list_level"), cells.alias("cells"), F.lit(None).cast("struct<data:binary,width:int,height:int,alt:string>").alias("image"),
+    )
+    files = dw.write_docx(blocks).select("doc_id", F.lit("docx").alias("kind"), F.col("docx").alias("content"))
+    return ct.docx_blocks(files).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("pos"), "text", F.col("runs")[0]["bold"].alias("bold"))
+
+
+@query(f"SELECT doc_id, CAST(3 * pos + 1 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS level, line AS said, CAST(octet_length(encode(line)) > 2000 AS BOOLEAN) AND length(line) * 2 >= 4095 AS long_header FROM ({_LINE_ROWS})")
+def record_round_trip(spark, sf_dir):
+    """Lines packed as tagged records of a stream for each document, split again and decoded."""
+    bytes_le = lambda n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, k).bitwiseAND(F.lit(255))), 2, "0") for k in (0, 8, 16, 24)]))
+    said = F.encode("line", "UTF-16LE")
+    size = F.octet_length(said).cast("long")
+    head = lambda tag, level, n: bytes_le(F.lit(tag + level * 1024).cast("long") + F.least(n, F.lit(4095)) * 1048576)
+    zero = F.lit(0).cast("long")
+    text = F.concat(head(67, 1, size), F.when(size >= 4095, bytes_le(size)).otherwise(F.unhex(F.lit(""))), said)
+    packed = lines(spark, sf_dir).select("doc_id", "pos", F.hex(F.concat(head(66, 0, zero), text, head(68, 1, zero))).alias("h"))
+    streams = packed.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "")).alias("payload"))
+    records = rc.split_records(streams.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("BodyText/Section0").alias("stream"), "payload"))
+    told = records.where("tag_id = 67").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), F.col("level").cast("long").alias("level"), rc.direct_text("payload").alias("said"), (F.col("header_size") == 8).alias("long_header"))
+    return told
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """Conversations as documents: user and assistant turns are paragraphs, system turns tables of one cell."""
+    turn = table(spark, sf_dir, "conversations")
+    null = lambda t: F.lit(None).cast(t)
+    table_ = F.col("role") == "system"
+    run = "array(named_struct('kind', 'text', 'text', text, 'character_style', named_struct('bold', role = 'user', 'font_size_pt', cast(turn as double))))"
+    rows = F.array(F.struct(F.array(F.struct(F.col("text"), F.lit(0).alias("row_index"), F.lit(0).alias("column_index"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))).alias("cells")))
+    body = F.to_json(F.struct(F.when(table_, "table").otherwise("paragraph").alias("block_type"), F.when(~table_, F.expr(run)).alias("text_runs"), F.when(~table_ & (F.col("turn") % 2 == 0), True).alias("is_empty"), F.when(table_, rows).alias("rows")))
+    blocks = turn.select("conv_id", "turn", F.from_json(body, et.BLOCK).alias("block"))
+    blocks = blocks.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda x: x["block"]).alias("blocks"))
+    part = null(f"struct<blocks:array<{et.BLOCK}>>")
+    return blocks.select(F.col("conv_id").alias("doc_id"), null("string").alias("source_path"), part.alias("header"), part.alias("footer"), "blocks")
+
+
+@query("SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, role <> 'system' AS is_paragraph, CASE WHEN role <> 'system' THEN role = 'user' END AS bold, text FROM conversations WHERE text <> ''")
+def tree_round_trip(spark, sf_dir):
+    """Documents to trees of nodes and back."""
+    docs = _documents(spark, sf_dir)
+    back = et.blocks_of_nodes(et.nodes(docs), et.blocks(docs))
+    block = F.col("block")
+    para = block["block_type"] == "paragraph"
+    text = F.when(para, block["text"]).otherwise(F.get(F.get(block["rows"], 0)["cells"], 0)["text"])
+    return back.select("doc_id", F.col("ord").cast("long").alias("ord"), para.alias("is_paragraph"), F.get(block["text_runs"], 0)["character_style"]["bold"].alias("bold"), text.alias("text")).where("text <> ''")
+
+
+@query("SELECT conv_id AS doc_id, CAST(count(*) AS BIGINT) AS n_blocks, CAST(count_if(CASE WHEN role = 'system' THEN text <> '' ELSE text <> '' AND turn % 2 <> 0 END) AS BIGINT) AS n_visible FROM conversations GROUP BY conv_id")
+def visible_blocks(spark, sf_dir):
+    """K4, A1: blocks that show something."""
+    docs = _documents(spark, sf_dir)
+    return docs.select("doc_id", F.size("blocks").cast("long").alias("n_blocks"), F.size(F.filter("blocks", et.is_visible)).cast("long").alias("n_visible"))
