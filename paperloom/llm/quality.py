@@ -89,13 +89,16 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("good")).cast("long").alias("n_bad_lines"),
         (chars - kept_chars).cast("long").alias("lost_chars"),
+        # Not deterministic, so that no filter on the result moves below and computes the arrays anew for each element.
+        F.monotonically_increasing_id().alias("fence"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     staged = staged.select("*", failed.alias("base_failed"))
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars"))
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "lost_chars", "base_failed")
     others = [F.col("row")[c].alias(c) for c in spare if c != "quality"]
-    return staged.select(*others, F.struct(*made, kept.alias("kept"), F.array_join("good", "\n").alias("cleaned_text")).alias("quality"))
+    result = F.struct(*made, kept.alias("kept"), F.array_join("good", "\n").alias("cleaned_text"))
+    return staged.select(*others, F.when(F.col("fence") >= 0, result).alias("quality"))
 
 
 ORACLE_SQL = r"""
