@@ -9,7 +9,6 @@ text falls apart at them, and decoding the stretches between gives that path.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -36,7 +35,7 @@ HINTS = (
     "regards", "road", "rd", "signed", "sincerely", "ssn", "st", "street", "tel", "telephone",
 )
 
-# The labelled sentences; [kind words] marks a span, / separates fillers of a slot.
+# The labelled sentences; [kind SLOT] marks a span, and SLOT or NUM, YEAR, HEX, IP, MAIL stand for fillers.
 SENTENCES = """
 my name is [name NAME] and i live here
 the patient [name NAME] was seen on monday

@@ -29,7 +29,9 @@ def stir(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
 
 def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = SEED) -> np.ndarray:
     """XXH64 of the byte strings data[start:start + length], all at once."""
-    seed = np.uint64(seed)
+    whole = (1 << 64) - 1
+    lanes = [np.uint64(x & whole) for x in (seed + int(P1) + int(P2), seed + int(P2), seed, seed - int(P1))]
+    short = np.uint64(seed + int(P5) & whole)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eights = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data) + 1, 8), (1, 1))
     read8 = lambda at: np.ascontiguousarray(eights[at]).view("<u8").ravel()
@@ -42,7 +44,7 @@ def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = S
         at = start[rows]
         left = n
         if n >= 32:
-            acc = [np.full(len(rows), x, np.uint64) for x in (seed + P1 + P2, seed + P2, seed, seed - P1)]
+            acc = [np.full(len(rows), x, np.uint64) for x in lanes]
             while left >= 32:
                 for k in range(4):
                     acc[k] = stir(acc[k], read8(at + 8 * k))
@@ -51,7 +53,7 @@ def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = S
             for a in acc:
                 h = (h ^ stir(np.zeros_like(a), a)) * P1 + P4
         else:
-            h = np.full(len(rows), seed + P5, np.uint64)
+            h = np.full(len(rows), short, np.uint64)
         h = h + np.uint64(n)
         while left >= 8:
             h = rotate(h ^ stir(np.zeros_like(h), read8(at)), 27) * P1 + P4

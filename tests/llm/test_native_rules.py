@@ -3,7 +3,6 @@
 import hashlib
 import re
 
-from pyspark.sql import functions as F
 
 from paperloom.llm import archives, common, quality, secrets
 

@@ -3,9 +3,7 @@
 import random
 import re
 
-import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from paperloom.llm import simhash
 
