@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a bitmap that keeps most rows without a partner out of a shuffle.
+BITMAP_BITS = 24
 #: Word characters are all but these, as a Java and RE2 class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -46,6 +49,27 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bitmap_of(hashes: DataFrame):
+    """A broadcast bitmap of the high bits of column hash (long, well mixed).
+
+    Its size is fixed: with very many hashes it lets more through, and what it
+    lets through is still joined exactly.
+    """
+    bit = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+    parts = hashes.select(F.shiftrightunsigned(bit, 6).alias("at"), bit.bitwiseAND(F.lit(63)).alias("bit"))
+    parts = parts.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("w"))
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    found = parts.toArrow()  # of 2 ** (BITMAP_BITS - 6) rows at most
+    out[found["at"].to_numpy()] = found["w"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (uint64) the bitmap lets through."""
+    bit = hashes >> np.uint64(64 - BITMAP_BITS)
+    return ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long), as (node, root).
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import archives, licenses, packing, passages, pii, quality, secrets, simhash, suffixes, templates
 from .common import table
@@ -60,7 +59,7 @@ QUERIES["op4_template_decontamination"] = op4_template_decontamination
 
 
 def op9_suffix_interval_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), kept=False)
 
 
 QUERIES["op9_suffix_interval_dedup"] = op9_suffix_interval_dedup

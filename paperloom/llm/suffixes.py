@@ -15,11 +15,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, prefix_sums, spread, substring_hash, window_runs
-from .common import stored, text_of
+from .common import bitmap_of, in_bitmap, stored, text_of
 
 LENGTH = 400
 KGRAM = 32
@@ -65,6 +66,26 @@ def anchors(rows: DataFrame, length: int, kgram: int) -> DataFrame:
     return rows.mapInArrow(run, ANCHORS)
 
 
+def with_partner(rows: DataFrame, partners: DataFrame, drop: bool) -> DataFrame:
+    """rows of keyed(); texts whose k1 no partner has are dropped, or else replaced by null, before they are shuffled.
+
+    By a bitmap of fixed size, so that some texts without a partner stay.
+    """
+    held = bitmap_of(partners.select(F.col("k1").alias("hash")))
+
+    def run(batches):
+        bitmap = np.frombuffer(held.value, np.uint64)
+        for batch in batches:
+            fits = pa.array(in_bitmap(bitmap, batch.column(1).to_numpy().view(np.uint64)))
+            if drop:
+                yield batch.filter(fits)
+            else:
+                data = batch.column(3)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pc.if_else(fits, data, pa.scalar(None, data.type)), *batch.columns[4:]], batch.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in rows.dtypes))
+
+
 def common_prefix(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -171,8 +192,8 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     several = spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1")
     parts = F.ceil(F.col("spans") / GROUP).cast("int")
     need = spans.join(several, "anchor").select("anchor", parts.alias("parts"), "rep.*")
-    need = need.groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("anchor", "parts", "first", "last")).alias("need"))
-    texts = rows.alias("r").join(need.alias("n"), F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.k1") == F.col("n.k1")) & (F.col("r.k2") == F.col("n.k2"))).select("r.k1", "r.k2", "r.text", "need")
+    need = stored(need.groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("anchor", "parts", "first", "last")).alias("need")), "need")
+    texts = with_partner(rows, need, drop=True).alias("r").join(need.alias("n"), F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.k1") == F.col("n.k1")) & (F.col("r.k2") == F.col("n.k2"))).select("r.k1", "r.k2", "r.text", "need")
 
     def cut(batches):
         for batch in batches:
@@ -253,30 +274,37 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, kgram: int = KGRAM, kept: bool = True) -> DataFrame:
     """Each row of docs without the bytes of strings of length bytes that also start elsewhere.
 
     Returns doc_id, n_bytes, n_removed, n_spans (long), kept_sha256 and kept
-    (binary: what is left, which may cut a character). Equal rows are
+    (binary: what is left, which may cut a character), unless kept is False. Equal rows are
     occurrences of their own, so repeated texts of length bytes or more vanish
     entirely. Null texts are empty; texts under length bytes stay whole.
     """
-    ranges = covered(docs, doc_id, text, length, kgram).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    rows = keyed(docs, doc_id, text).join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
+    ranges = stored(covered(docs, doc_id, text, length, kgram).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
+    rows = keyed(docs, doc_id, text)
+    rows = rows.select(*rows.columns, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), *([F.col("text").cast("binary").alias("whole")] if kept else []))
+    rows = with_partner(rows, ranges, drop=False).join(ranges, ["k1", "k2"], "left")
+    rows = rows.select("doc_id", "n_bytes", "sha256", F.when(F.col("ranges").isNotNull(), F.col("text")).alias("text"), "ranges", *(["whole"] if kept else []))
 
     def run(batches):
         for batch in batches:
             out = []
-            for d, t, ranges in zip(*(c.to_pylist() for c in batch.columns)):
-                data = t.encode()
-                spans = merged([(r["start"], r["end"]) for r in ranges or ()])
-                kept, at = [], 0
+            for d, n, whole, t, ranges, *data in zip(*(c.to_pylist() for c in batch.columns)):
+                if ranges is None:
+                    out.append((d, n, 0, 0, whole, *data))
+                    continue
+                held = t.encode()
+                spans = merged([(r["start"], r["end"]) for r in ranges])
+                parts, at = [], 0
                 for a, b in spans:
-                    kept.append(data[at:a])
+                    parts.append(held[at:a])
                     at = b
-                left = b"".join([*kept, data[at:]])
-                out.append((d, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                left = b"".join([*parts, held[at:]])
+                out.append((d, n, n - len(left), len(spans), hashlib.sha256(left).hexdigest(), *([left] if kept else [])))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if kept else []))
+            cols = list(zip(*out)) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept else [])])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept else ""))

@@ -14,14 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, mix, prefix_sums, spread, substring_hash, words
-from .common import stored, text_of
+from .common import bitmap_of, in_bitmap, stored, text_of
 
 WINDOW = 5
 COVERAGE = 0.8
 #: Slots that may break the mapping of an item's values to a document's, as a share.
 MAX_CONFLICTS = 0.2
-#: Bits of the bitmap that keeps most foreign windows out of the join.
-BITMAP_BITS = 24
 # Words that count as units.
 UNITS = (
     "%", "amp", "amps", "bytes", "cent", "cents", "cm", "day", "days", "degree", "degrees", "dollar", "dollars", "euro", "euros", "feet", "foot", "ft", "g", "gallon", "gallons", "gb",
@@ -101,8 +99,7 @@ def window_rows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, bitmap
     totals = np.bincount(owner[literal], minlength=len(n))
     keep = literal
     if bitmap is not None:
-        bit = h >> np.uint64(64 - BITMAP_BITS)
-        keep = keep & ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+        keep = keep & in_bitmap(bitmap, h)
     kept = np.flatnonzero(keep)
     slots = []
     for i in kept.tolist():
@@ -134,17 +131,6 @@ def windows(texts: DataFrame, bitmap=None) -> DataFrame:
     return texts.mapInArrow(run, SCHEMA)
 
 
-def bitmap_of(hashes: DataFrame):
-    """A broadcast bitmap of the hashes' high bits; its size is fixed."""
-    bit = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
-    parts = hashes.select(F.shiftrightunsigned(bit, 6).alias("at"), bit.bitwiseAND(F.lit(63)).alias("bit"))
-    parts = parts.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("w"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for batch in [parts.toArrow()]:  # of 2 ** (BITMAP_BITS - 6) rows at most
-        out[batch["at"].to_numpy()] = batch["w"].to_numpy()
-    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
-
-
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Pairs of a document and an item that it has COVERAGE of, with consistent slots.
 
