@@ -24,6 +24,10 @@ from .common import shared_dir, stored, text_of
 
 #: Uncompressed bytes after which a file is closed.
 ROLL = 8_000_000
+#: Bytes of an archive that are read at a time.
+READ = 1_000_000
+#: Tasks that read archives at most; beyond, a task reads several files in turn.
+MAX_TASKS = 50_000
 # The header fields of the two ARC versions.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -84,24 +88,28 @@ class Rolling:
 
 
 def members(path: str) -> Iterator[bytes]:
-    """The gzip members of a file, unpacked; one that is cut short ends it. Plain files are one member."""
+    """The gzip members of a file, unpacked; one that is cut short ends it. Plain files are one member.
+
+    A file is read piece by piece, so memory follows the longest member, whatever the archive's size.
+    """
     fs, at = pafs.FileSystem.from_uri(path)
     with fs.open_input_stream(at, compression=None) as f:
-        rest = f.read()
-    if rest[:2] != b"\x1f\x8b":
-        yield rest
-        return
-    rest = memoryview(rest)
-    while len(rest):
-        unpack = zlib.decompressobj(31)
-        try:
-            data = unpack.decompress(rest)
-        except zlib.error:
+        rest = f.read(READ)
+        if rest[:2] != b"\x1f\x8b":
+            yield rest + f.read()
             return
-        if not unpack.eof:
-            return
-        rest = rest[len(rest) - len(unpack.unused_data) :]
-        yield data
+        while rest:
+            unpack, parts = zlib.decompressobj(31), []
+            try:
+                while rest and not unpack.eof:
+                    parts.append(unpack.decompress(rest))
+                    rest = unpack.unused_data if unpack.eof else f.read(READ)
+            except zlib.error:
+                return
+            if not unpack.eof:
+                return
+            yield b"".join(parts)
+            rest = rest or f.read(READ)
 
 
 def arc_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,6 +158,7 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20000101000000") -> Da
     """A manifest of ARC files that hold pages (page_id, url, html); versions 1 and 2 alternate.
 
     Null html is empty, a null url is "unknown:", and a null page_id is left out.
+    page_id must be an integer column. Very long pages are written whole.
     """
 
     def head(name: str, k: int) -> bytes:
@@ -177,6 +186,11 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20000101000000") -> Da
     return stored(pages.select("page_id", text_of("url").alias("url"), text_of("html").alias("html")).mapInArrow(run, MANIFEST), "arc-manifest")
 
 
+def one_each(manifest: DataFrame, work: DataFrame) -> DataFrame:
+    """work, dealt out by path to as many tasks as manifest has files, MAX_TASKS at most, which adaptive execution doesn't merge."""
+    return work.repartition(min(MAX_TASKS, max(1, manifest.count())), "path")
+
+
 def arc_digests(manifest: DataFrame) -> DataFrame:
     """(path, page_id, digest) of each ARC record."""
 
@@ -189,7 +203,7 @@ def arc_digests(manifest: DataFrame) -> DataFrame:
                     rows.append((field(block, "X-Page-Id"), sha1_base32(payload)))
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([None if p is None else int(p) for p, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.string())], ["path", "page_id", "digest"])
 
-    return manifest.select("path").mapInArrow(run, "path string, page_id long, digest string")
+    return one_each(manifest, manifest.select("path")).mapInArrow(run, "path string, page_id long, digest string")
 
 
 def convert(manifest: DataFrame, folder: str) -> DataFrame:
@@ -203,7 +217,7 @@ def convert(manifest: DataFrame, folder: str) -> DataFrame:
     first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     again = digests.select("path", "digest").distinct().join(first, "digest")
     again = again.groupBy("path").agg(F.collect_list(F.struct("digest", "first")).alias("again"))
-    work = manifest.select("path").join(again, "path", "left").repartition(F.col("path"))
+    work = one_each(manifest, manifest.select("path").join(again, "path", "left"))
 
     def head(name: str, k: int) -> bytes:
         body = b"software: paperloom\r\nformat: WARC File Format 1.1\r\n"
@@ -263,7 +277,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                 cols = zip(*rows) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
+    return one_each(manifest, manifest.select("path")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
 
 
 def convert_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:

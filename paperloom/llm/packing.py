@@ -23,8 +23,8 @@ from .common import stored, text_of
 SEQUENCE = 2048
 END_ID = 0
 #: Pairs of (part, groups) that are planned; the plan with the fewest sequences is used. Lengths over SEQUENCE / part
-#: are large and grouped, the others are best-fitted.
-CHOICES = ((2, 32), (3, 16), (4, 16))
+#: are large and grouped, the others are best-fitted; part 1 leaves all to the best fit, which suits few pieces.
+CHOICES = ((2, 32), (3, 16), (4, 16), (1, 1))
 # Fixed value: the pre-tokens of a byte-level BPE, in a form without backtracking.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Pieces that are ranked together.
@@ -37,8 +37,8 @@ class Encoder:
 
     A byte-level BPE whose ids follow the order of its merges is the same
     function in the tiktoken library, which is several times faster; any other
-    file is left to the tokenizers library. Special tokens' strings are
-    ordinary text.
+    file is left to the tokenizers library. Added tokens' strings in a text
+    become those tokens, as the tokenizers library has it.
     """
 
     def __init__(self, spec: str):
@@ -47,7 +47,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_str(spec)
-            self.slow.encode_special_tokens = True
 
     @staticmethod
     def by_ranks(spec: dict):
@@ -59,18 +58,22 @@ class Encoder:
             return None
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         vocabulary = model["vocab"]
-        special = {x["content"] for x in spec.get("added_tokens", ())}
-        singles = len(vocabulary) - len(merges) - len(special & set(vocabulary))
+        added = spec.get("added_tokens", ())
+        special = {x["content"]: x["id"] for x in added}
+        nested = any(a != b and a in b for a in special for b in special)
+        if nested or any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added):
+            return None
+        singles = len(vocabulary) - len(merges) - len(special.keys() & vocabulary.keys())
         if singles != 256 or any(vocabulary.get(a + b) != singles + k for k, (a, b) in enumerate(merges)):
             return None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
-        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.fast is not None:
-            return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
+            return [self.fast.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
         return [np.array(e.ids, "<u4").tobytes() for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 

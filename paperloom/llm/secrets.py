@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame operations.
 
 Each text is scanned where it lies; only small candidate rows (a value's hash,
-owner, repository, span) are shuffled. A value that several owners hold is an
-example that was copied around; one that a single owner or two hold looks live.
+owner, repository, span) are shuffled. A value that several owners hold, or
+many repositories of one or two owners, is an example that was copied around;
+one that few repositories of an owner or two hold looks live.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import stored, text_of, with_facts
 
 # The base kinds in their order, with their patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,6 +27,8 @@ KINDS = ("assign", "access", "hex", "owned")
 MIN_ASSIGNED = 6
 #: From so many distinct owners on, a value is a copied example.
 EXAMPLE_OWNERS = 3
+#: From so many distinct repositories on it is one too, whoever owns them.
+EXAMPLE_REPOS = 4
 
 
 def matches(pattern: str) -> tuple[Column, Column]:
@@ -86,35 +89,40 @@ def ownership(values: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: tuple = ("source", "lang")) -> DataFrame:
-    """Per distinct (doc_id, text): its spans and what the corpus says of them.
+    """One row per row of docs: its spans and what the corpus says of them.
 
     Returns doc_id, text_key (xxhash64 of doc_id and text; joins back to the
-    rows), copies (equal rows), base and spans (arrays of start, kind, end) and
-    n_live, n_example (spans whose value few or many owners hold). spans holds
-    every base span and the added ones that look live. A null owner or
-    repository counts as one more of them, a null text as empty, and the
-    spans of a null doc_id are kept under null.
+    rows), base and spans (arrays of start, kind, end), n_live and n_example (spans
+    whose value few or many owners and repositories hold), max_owners and max_repos
+    (of any of its values). spans holds every base span and the added ones that
+    look live. A null owner or repository counts as one more of them, a null text
+    as empty, and the spans of a null doc_id are kept under null. Repeated rows give
+    repeated results and count once for owners; very long texts are scanned whole; an
+    empty table gives none. Other columns of docs aren't read, whatever their names.
     """
-    key = F.xxhash64(F.col(doc_id), text_of(text)).alias("text_key")
-    rows = candidates(docs.select(F.col(doc_id).alias("doc_id"), key, text_of(text).alias("t0"), F.col(owner).alias("owner"), F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in repo]).alias("repo")), "t0")
+    c = lambda name: F.col(f"`{name}`")
+    key = F.xxhash64(c(doc_id), text_of(c(text))).alias("text_key")
+    rows = candidates(docs.select(c(doc_id).alias("doc_id"), key, text_of(c(text)).alias("t0"), c(owner).alias("owner"), F.concat_ws("/", *[F.coalesce(c(x).cast("string"), F.lit("?")) for x in repo]).alias("repo")), "t0")
     hashed = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("digest")))
     rows = stored(rows.select("doc_id", "text_key", "owner", "repo", hashed("base").alias("base"), hashed("added").alias("added")), "candidates")
     found = rows.select("doc_id", "text_key", "owner", "repo", F.explode(F.concat("base", "added")).alias("s"))
     found = found.select("doc_id", "text_key", "owner", "repo", "s.*")
-    verdict = ownership(found.select("digest", "owner", "repo")).select("digest", (F.col("n_owners") < EXAMPLE_OWNERS).alias("live"))
-    judged = found.select("doc_id", "text_key", "start", "kind", "end", "digest").join(verdict, "digest")
+    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_repos") < EXAMPLE_REPOS)
+    verdict = stored(ownership(found.select("digest", "owner", "repo")).select("*", live.alias("live")), "ownership")
+    judged = with_facts(found.select("doc_id", "text_key", "start", "kind", "end", "digest"), verdict, ["digest"], "text_key", n="n_found")
     span = F.struct("start", "kind", "end")
     judged = judged.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.when((F.col("kind") < 3) | F.col("live"), span))).alias("spans"),
         F.size(F.collect_set(F.when(F.col("live"), span))).cast("long").alias("n_live"),
         F.size(F.collect_set(F.when(~F.col("live"), span))).cast("long").alias("n_example"),
+        F.max("n_owners").alias("max_owners"), F.max("n_repos").alias("max_repos"),
     ).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = rows.select("doc_id", "text_key", bare.alias("base"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
     return base.join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").select(
-        "doc_id", "text_key", "base", F.coalesce("spans", none).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        "doc_id", "text_key", "base", F.coalesce("spans", none).alias("spans"), *map(zero, ("n_live", "n_example", "max_owners", "max_repos")),
     )
 
 
@@ -126,25 +134,29 @@ def spelled(array: str) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query: counts by base kind, a hash and all spans."""
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", n(0), n(1), n(2), F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"), "n_live", "n_example")
+    return found.select("doc_id", n(0), n(1), n(2), F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"), "n_live", "n_example", "max_owners", "max_repos")
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with each span of find_secrets replaced by [KIND], its columns kept.
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """docs with each span of find_secrets replaced by [KIND], its columns kept, whatever their names.
 
     Overlapping spans are replaced as one, named after the first. Rows without
-    a secret are untouched.
+    a secret are untouched, null texts too. Column n_chars, if named, is set to the new
+    length where the text changed. Repeated rows stay repeated.
     """
-    found = find_secrets(docs, doc_id, text).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_k"])
+    c = lambda name: F.col(f"`{name}`")
+    rows = docs.select(F.xxhash64(c(doc_id), text_of(c(text))).alias("key"), c(text).alias("t"), F.struct(*[c(x) for x in docs.columns]).alias("row"))
+    found = find_secrets(docs, doc_id, text).where(F.size("spans") > 0).select(F.col("text_key").alias("key"), F.col("spans").alias("s")).dropDuplicates(["key"])
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))).otherwise(acc["out"]).alias("out"),
+        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring("t", acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))).otherwise(acc["out"]).alias("out"),
     )
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    new = F.aggregate("_s", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    on = F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(doc_id), text_of(text)) == F.col("_k"))
-    return docs.join(found, on, "left").withColumn(text, F.when(F.col("_s").isNotNull(), new).otherwise(F.col(text))).drop("_d", "_k", "_s")
+    end = lambda acc: F.concat(acc["out"], F.substring("t", acc["at"] + 1, F.length("t")))
+    new = F.aggregate("s", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
+    rows = rows.join(found, "key", "left").select("row", F.when(F.col("s").isNotNull(), new).alias("new"))
+    changed = {text: F.col("new")} | ({n_chars: F.length("new").cast(docs.schema[n_chars].dataType)} if n_chars else {})
+    return rows.select(*[(F.when(F.col("new").isNotNull(), changed[x]).otherwise(F.col("row")[x]) if x in changed else F.col("row")[x]).alias(x) for x in docs.columns])
 
 
 _SQL_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -166,12 +178,13 @@ b AS (SELECT rid, a, kind, a + length(s) AS z, value FROM (SELECT * FROM s0 WHER
 v AS (SELECT rid, a, kind, a + length(s) AS z, value FROM s3 WHERE (NOT regexp_full_match(value, '{OPAQUE}') OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')))
   AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = s3.rid AND b.a < s3.a + length(s3.s) AND s3.a < b.z)),
 c AS (SELECT * FROM b UNION ALL SELECT * FROM v),
-o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) < {EXAMPLE_OWNERS} AS live FROM c JOIN d USING (rid) GROUP BY value),
+o AS (SELECT value, n_owners, n_repos, n_owners < {EXAMPLE_OWNERS} AND n_repos < {EXAMPLE_REPOS} AS live FROM (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners,
+  count(DISTINCT coalesce(source, chr(0)) || chr(0) || coalesce(source, '?') || '/' || coalesce(lang, '?')) AS n_repos FROM c JOIN d USING (rid) GROUP BY value)),
 n AS (SELECT rid, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex,
   string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) AS base FROM b GROUP BY rid),
-w AS (SELECT rid, string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR live) AS spans, count_if(live) AS n_live, count_if(NOT live) AS n_example
+w AS (SELECT rid, string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR live) AS spans, count_if(live) AS n_live, count_if(NOT live) AS n_example, max(n_owners) AS max_owners, max(n_repos) AS max_repos
   FROM c JOIN o USING (value) GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(max_owners, 0) AS max_owners, coalesce(max_repos, 0) AS max_repos
 FROM d LEFT JOIN n USING (rid) LEFT JOIN w USING (rid)
 """

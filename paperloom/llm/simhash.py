@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, words
-from .common import components, stored, text_of
+from .common import components, discard, stored, text_of, with_facts
 
 SHINGLE = 3
 RADIUS = 2
@@ -170,13 +170,21 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
     keyed = fps.select("fp", *[quarter(k).alias(f"q{k}") for k in range(4)])
     qs = [f"q{k}" for k in range(4)]
-    sizes = keyed.groupBy(*qs).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    placed = keyed.join(sizes, qs).select("fp", *qs, F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
-    tiles = stored(placed.groupBy(*qs, "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "tiles")
+    sizes = stored(keyed.groupBy(*qs).agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "sizes")
+    placed = with_facts(keyed, sizes, qs, "fp").select("fp", *qs, F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
+    # The quarters' counts, of 0 to 16 each, and the part make the number of a tile.
+    tile = lambda qs, part: (((qs[0] * 17 + qs[1]) * 17 + qs[2]) * 17 + qs[3]).cast("long") * F.lit(1 << 32) + part
+    tiles = placed.groupBy(*qs, "part").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    tiles = stored(tiles.select(tile([F.col(q) for q in qs], F.col("part")).alias("tile"), *qs, "part", "fps"), "tiles")
     steps = [(a, b, c, d) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) for c in range(-radius, radius + 1) for d in range(-radius, radius + 1) if abs(a) + abs(b) + abs(c) + abs(d) <= radius and (a, b, c, d) >= (0, 0, 0, 0)]
     away = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(s)]) for s in steps])).alias("d")
-    left = tiles.select("*", away).select(F.col("part").alias("lpart"), F.col("fps").alias("lfps"), *[(F.col(f"q{k}") + F.col(f"d.d{k}")).alias(f"q{k}") for k in range(4)], F.expr("d.d0 = 0 and d.d1 = 0 and d.d2 = 0 and d.d3 = 0").alias("home"))
-    met = left.join(tiles, qs).where("not home or lpart <= part").select("lfps", "fps", F.expr("home and lpart = part").alias("same"))
+    named = tiles.select("tile", *qs)
+    left = named.select(F.col("tile").alias("ltile"), *qs, away).select("ltile", *[(F.col(q) + F.col(f"d.d{k}")).alias(q) for k, q in enumerate(qs)])
+    # Pairs of tiles are found by number and dealt out before their fingerprints are fetched.
+    home = F.shiftright("ltile", 32) == F.shiftright("tile", 32)
+    pairs = left.join(named, qs).where(~home | (F.col("ltile") <= F.col("tile"))).select("ltile", "tile")
+    met = pairs.join(tiles.select(F.col("tile").alias("ltile"), F.col("fps").alias("lfps")), "ltile").join(tiles.select("tile", "fps"), "tile")
+    met = met.select("lfps", "fps", (F.col("ltile") == F.col("tile")).alias("same"))
 
     def run(batches):
         for batch in batches:
@@ -201,25 +209,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     zero and are linked like any other. Repeated rows are returned repeatedly.
     """
     prints = stored(fingerprints(docs, doc_id, text), "prints")
-    fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     found = components(links(fps.select("fp"), radius))
-    rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), "least")
+    named = stored(with_facts(rooted, least, ["root"], "fp", n="k").select("fp", "root", "component_id", "n"), "named")
+    discard(fps, rooted, least)
+    return with_facts(prints, named, ["fp"], "text_key").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component, that with the smallest doc_id; all columns stay.
+    """docs with one row of each component, that with the smallest doc_id; all columns stay, whatever their names.
 
     Among rows with this id the text with the smallest key stays, and of
-    equal rows any one.
+    rows with equal id and text any one. Null, empty and wordless texts are one component
+    and keep one row, very long texts are read whole, an empty table stays empty.
     """
-    found = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("root").agg(F.min("text_key").alias("_key")).select("_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), text_of(text))).join(keep, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(doc_id)))
-    return keyed.withColumn("_n", first).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64(F.col(f"`{doc_id}`"), text_of(F.col(f"`{text}`")))
+    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = near_duplicates(plain).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("root").agg(F.min("text_key").alias("key")).select("key").distinct()
+    keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return keyed.join(keep, "key", "left_semi").dropDuplicates(["key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

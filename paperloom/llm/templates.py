@@ -27,22 +27,33 @@ UNITS = (
     "liter", "liters", "litre", "litres", "m", "mb", "meter", "meters", "metre", "metres", "mg", "mile", "miles", "min", "minute", "minutes", "ml", "mm", "month", "months", "mph",
     "ounce", "ounces", "oz", "percent", "pound", "pounds", "s", "second", "seconds", "ton", "tons", "volt", "volts", "w", "watt", "watts", "week", "weeks", "yard", "yards", "year", "years",
 )
+# Capitalised words that are no names, as they open sentences.
+COMMON = (
+    "a", "after", "all", "although", "an", "and", "are", "as", "at", "because", "before", "both", "but", "by", "calculate", "can", "compute", "consider", "determine", "did", "do", "does",
+    "each", "every", "explain", "find", "for", "from", "given", "he", "her", "his", "how", "i", "if", "in", "is", "it", "its", "let", "many", "my", "no", "not", "of", "on", "one", "or",
+    "our", "she", "show", "since", "so", "some", "suppose", "than", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "two", "was", "we", "were", "what",
+    "when", "where", "which", "while", "who", "why", "with", "write", "you", "your",
+    "das", "dem", "den", "der", "des", "die", "ein", "eine", "einen", "er", "es", "ich", "ihr", "mit", "sie", "und", "von", "was", "wenn", "wer", "wie", "wir", "zu",
+    "au", "ce", "ces", "dans", "du", "elle", "et", "il", "ils", "je", "la", "le", "les", "nous", "on", "par", "pour", "quand", "que", "quel", "quelle", "qui", "si", "sur", "un", "une", "vous",
+    "al", "como", "con", "cuando", "cuál", "cuánto", "cuántos", "de", "del", "el", "ella", "en", "los", "las", "para", "por", "qué", "se", "su", "una", "y",
+)
 LITERAL, NUMBER, UNIT, NAME = range(4)
 STEPS = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF | 1 for k in range(WINDOW)], np.uint64)
-SCHEMA = "id long, text_key long, n_windows int, hash long, pos int, slots array<string>"
+SCHEMA = "id long, text_key long, width int, n_windows int, hash long, pos int, slots array<string>"
 
 
-def unit_hashes() -> np.ndarray:
-    data = [np.frombuffer(u.encode(), np.uint8) for u in UNITS]
+def word_hashes(words: tuple) -> np.ndarray:
+    data = [np.frombuffer(u.encode(), np.uint8) for u in words]
     return np.sort(np.concatenate([substring_hash(prefix_sums(d), np.array([0]), np.array([len(d)])) for d in data]))
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, units: np.ndarray):
+def tokens(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, common: np.ndarray):
     """Starts, ends, kinds, hashes of the tokens, and each text's first token and one past its last.
 
     A token is a word without the punctuation around it; words of punctuation
     alone, but for %, are skipped. With a digit it is a number; as a listed word a unit;
-    with one capital in front, and not after .!?: or a line feed, a name.
+    with one capital (Latin, Greek or Cyrillic) in front a name, unless it is a common
+    word. Where it stands doesn't matter, so a sentence's first word may be a name.
     """
     n = len(data)
     starts, ends, _ = words(data, offsets)
@@ -62,70 +73,71 @@ def tokens(data: np.ndarray, offsets: np.ndarray, units: np.ndarray):
     first = np.searchsorted(starts, offsets)
     hashes = substring_hash(prefix_sums(lower), starts, ends)
     count = np.concatenate([[0], np.cumsum(digit)])
-    stops = np.concatenate([[0], np.cumsum(np.isin(data, [10, 33, 46, 58, 63]))])
     kinds = np.zeros(len(starts), np.uint8)
     if len(starts):
-        opens = np.concatenate([[0], ends[:-1]])
-        fresh = stops[starts] > stops[opens]
-        fresh[first[:-1][first[:-1] < len(starts)]] = True
-        second = np.minimum(starts + 1, n - 1)
-        big = upper[starts] | ((data[starts] == 0xC3) & wide[second])
+        lead, second = data[starts], data[np.minimum(starts + 1, n - 1)]
+        point = (lead.astype(int) & 0x1F) << 6 | (second & 0x3F)
+        even = ((point >= 0x100) & (point <= 0x137)) | ((point >= 0x14A) & (point <= 0x177))
+        odd = ((point >= 0x139) & (point <= 0x148)) | ((point >= 0x179) & (point <= 0x17E))
+        other = (even & (point % 2 == 0)) | (odd & (point % 2 == 1)) | ((point >= 0x391) & (point <= 0x3A9)) | ((point >= 0x400) & (point <= 0x42F)) | ((point >= 0xC0) & (point <= 0xDE) & (point != 0xD7))
+        big = upper[starts] | ((lead >= 0xC3) & (lead <= 0xDF) & other)
         after = np.where(upper[starts], starts + 1, starts + 2)
         small = (after < ends) & ~upper[np.minimum(after, n - 1)] & ~digit[np.minimum(after, n - 1)]
-        kinds[big & small & ~fresh] = NAME
-        kinds[units[np.minimum(np.searchsorted(units, hashes), len(units) - 1)] == hashes] = UNIT
+        listed = lambda known: known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+        kinds[big & small & ~listed(common)] = NAME
+        kinds[listed(units)] = UNIT
         kinds[count[ends] > count[starts]] = NUMBER
         hashes = np.where(kinds > 0, mix(kinds.astype(np.uint64)), hashes)
     return starts, ends, kinds, hashes, first
 
 
-def window_rows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, bitmap: np.ndarray | None):
-    """Of each text the windows with a literal token: text, windows of the text, hash, place, slot values."""
-    starts, ends, kinds, hashes, first = tokens(data, offsets, units)
+def window_rows(data: np.ndarray, offsets: np.ndarray, known: tuple, widths: list[int] | None, bitmap: np.ndarray | None):
+    """Of each text the windows with a literal token: text, width, windows of the text, hash, place, slot values.
+
+    Of each of widths, or else of WINDOW tokens or all that a shorter text has.
+    """
+    starts, ends, kinds, hashes, first = tokens(data, offsets, *known)
     n = np.diff(first)
-    n_windows = np.where(n >= WINDOW, n - WINDOW + 1, (n > 0).astype(np.int64))
-    owner = np.repeat(np.arange(len(n)), n_windows)
-    pos = spread(n_windows)
-    head = first[:-1][owner] + pos
-    width = np.minimum(n[owner], WINDOW)
-    h = np.zeros(len(owner), np.uint64)
-    literal = np.zeros(len(owner), bool)
-    for k in range(WINDOW):
-        inside = width > k
-        t = np.minimum(head + k, max(0, len(hashes) - 1))
-        h += np.where(inside, hashes[t] * STEPS[k], np.uint64(0)) if len(hashes) else np.uint64(0)
-        literal |= inside & (kinds[t] == LITERAL) if len(kinds) else False
-    h = mix(h + width.astype(np.uint64))
-    totals = np.bincount(owner[literal], minlength=len(n))
-    keep = literal
-    if bitmap is not None:
-        keep = keep & in_bitmap(bitmap, h)
-    kept = np.flatnonzero(keep)
-    slots = []
-    for i in kept.tolist():
-        r = range(int(head[i]), int(head[i] + width[i]))
-        slots.append([data[starts[t] : ends[t]].tobytes().decode("utf-8", "replace").lower() for t in r if kinds[t]])
-    return owner[kept], totals[owner[kept]], h[kept].view(np.int64), pos[kept], slots
-
-
-def windows(texts: DataFrame, bitmap=None) -> DataFrame:
-    """texts (id, text_key, text) as rows of SCHEMA; equal windows with equal slots of a text once."""
+    out: list[tuple] = []
+    for asked in widths or [0]:
+        width = np.full(len(n), asked) if asked else np.minimum(n, WINDOW)
+        n_windows = np.where((n >= width) & (n > 0), n - width + 1, 0)
+        owner = np.repeat(np.arange(len(n)), n_windows)
+        if not len(owner):
+            continue
+        pos = spread(n_windows)
+        head, size = first[:-1][owner] + pos, width[owner]
+        h = np.zeros(len(owner), np.uint64)
+        literal = np.zeros(len(owner), bool)
+        for k in range(WINDOW):
+            inside = size > k
+            t = np.minimum(head + k, len(hashes) - 1)
+            h += np.where(inside, hashes[t] * STEPS[k], np.uint64(0))
+            literal |= inside & (kinds[t] == LITERAL)
+        h = mix(h + size.astype(np.uint64))
+        totals = np.bincount(owner[literal], minlength=len(n))
+        kept = np.flatnonzero(literal if bitmap is None else literal & in_bitmap(bitmap, h))
+        for i in kept.tolist():
+            r = range(int(head[i]), int(head[i] + size[i]))
+            slots = [data[starts[t] : ends[t]].tobytes().decode("utf-8", "replace").lower() for t in r if kinds[t]]
+            out.append((int(owner[i]), int(size[i]), int(totals[owner[i]]), int(h[i].view(np.int64)), int(pos[i]), slots))
+    return out
+
+
+def windows(texts: DataFrame, widths: list[int] | None = None, bitmap=None) -> DataFrame:
+    """texts (id, text_key, text) as rows of SCHEMA, one per window and place."""
 
     def run(batches):
-        units = unit_hashes()
+        known = word_hashes(UNITS), word_hashes(COMMON)
         held = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
             for rows, data, offsets in chunks(batch):
-                owner, totals, h, pos, slots = window_rows(data, offsets, units, held)
-                seen, keep = set(), []
-                for i, key in enumerate(zip(owner.tolist(), h.tolist(), map(tuple, slots))):
-                    if held is None or key not in seen:
-                        seen.add(key)
-                        keep.append(i)
-                take = pa.array(owner[keep])
+                found = window_rows(data, offsets, known, widths, held)
+                owner, width, totals, h, pos, slots = zip(*found) if found else [[]] * 6
+                take = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(take), rows.column(1).take(take), pa.array(totals[keep], pa.int32()), pa.array(h[keep]), pa.array(pos[keep], pa.int32()), pa.array([slots[i] for i in keep], pa.list_(pa.string()))],
-                    ["id", "text_key", "n_windows", "hash", "pos", "slots"],
+                    [rows.column(0).take(take), rows.column(1).take(take), pa.array(width, pa.int32()), pa.array(totals, pa.int32()), pa.array(h, pa.int64()), pa.array(pos, pa.int32()), pa.array(slots, pa.list_(pa.string()))],
+                    ["id", "text_key", "width", "n_windows", "hash", "pos", "slots"],
                 )
 
     return texts.mapInArrow(run, SCHEMA)
@@ -139,11 +151,15 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     verbatim if every slot keeps the item's value, otherwise reparameterised.
     An item's value conflicts if on one alignment it becomes several values.
     Rows with the same id and text are one document, items with the same id
-    and text one item. Null and empty texts have no windows and match nothing.
+    and text one item. Null and empty texts have no windows and match nothing; an
+    item of fewer than WINDOW tokens has one window of its own width, for which whole
+    documents are searched too. Very long texts are read whole. Only the named columns are read.
     """
-    key = lambda i: F.xxhash64(F.col(i), text_of(text)).alias("text_key")
-    asked = stored(windows(items.select(F.col(item_id).cast("long").alias("id"), key(item_id), text_of(text).alias("text")).distinct()), "items")
-    held = windows(docs.select(F.col(doc_id).cast("long").alias("id"), key(doc_id), text_of(text).alias("text")), bitmap_of(asked.select("hash")))
+    c = lambda name: F.col(f"`{name}`")
+    plain = lambda df, i: df.select(c(i).cast("long").alias("id"), F.xxhash64(c(i), text_of(c(text))).alias("text_key"), text_of(c(text)).alias("text"))
+    asked = stored(windows(plain(items, item_id).distinct()), "items")
+    widths = [r.width for r in asked.select("width").distinct().collect()]  # WINDOW at most
+    held = windows(plain(docs, doc_id), widths or [WINDOW], bitmap_of(asked.select("hash")))
     item = asked.select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "n_windows", "hash", F.col("pos").alias("at"), F.col("slots").alias("asked"))
     met = stored(held.select(F.col("id").alias("doc_id"), "text_key", "hash", "pos", "slots").join(item, "hash"), "met")
     pair = ["doc_id", "text_key", "item_id", "item_key"]
@@ -165,6 +181,15 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that leak an item; all their columns stay."""
-    found = leaks(docs, items, doc_id, text=text).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
-    return docs.join(found, (F.xxhash64(F.col(doc_id), text_of(text)) == F.col("_k")) & F.col(doc_id).eqNullSafe(F.col("_d")), "left_anti")
+    """docs without those that leak an item; all their columns stay, whatever their names.
+
+    Repeated rows stay or go together; null and empty texts stay. Only the keys
+    of rows that leak are shuffled against the rows.
+    """
+    c = lambda name: F.col(f"`{name}`")
+    key = F.xxhash64(c(doc_id), text_of(c(text)))
+    plain = docs.select(c(doc_id).alias("doc_id"), c(text).alias("text"))
+    other = items.select("item_id", c(text).alias("text"))
+    found = leaks(plain, other).select(F.col("text_key").alias("key")).distinct()
+    rows = docs.select(key.alias("key"), F.struct(*[c(x) for x in docs.columns]).alias("row"))
+    return rows.join(found, "key", "left_anti").select(*[F.col("row")[x].alias(x) for x in docs.columns])

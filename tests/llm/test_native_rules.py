@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
 
 from paperloom.llm import archives, common, quality, secrets
 
@@ -65,6 +66,41 @@ def test_secret_spans_and_ownership(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_owners_and_repositories_decide_together(spark):
+    wide, few, one = ("ghp_" + c * 12 for c in ("aB3", "cD4", "eF5"))
+    rows = [(i, wide, "src0", f"l{i}", 0) for i in range(4)] + [(10 + i, few, f"src{i}", "en", 0) for i in range(2)] + [(20 + i, one, "src9", "en", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, owner int")
+    found = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(docs)).collect()}
+    assert [(found[i].n_live, found[i].n_example, found[i].max_owners, found[i].max_repos) for i in (0, 10, 20)] == [(0, 1, 1, 4), (1, 0, 2, 2), (1, 0, 1, 1)]
+    assert found[0].spans == "" and found[20].spans == f"owned:0:{len(one)}"
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "passwd=abcdefgh x", "s", "l", 17, 1, 2, 3), (1, "passwd=abcdefgh x", "s", "l", 17, 1, 2, 3), (None, None, "s", "l", 0, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, _d int, key int, row int")
+    found = secrets.redact(docs, n_chars="n_chars")
+    assert found.dtypes == docs.dtypes
+    assert sorted(map(str, found.collect())) == sorted(str(r) for r in docs.selectExpr("doc_id", "if(doc_id = 1, '[ASSIGN] x', text) text", "source", "lang", "if(doc_id = 1, 10L, n_chars) n_chars", "_d", "key", "row").collect())
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "ROLL", 2000)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"text {i % 30} " * 60) for i in range(90)], "page_id long, url string, html string")
+    arc = archives.write_arc(pages, f"file://{tmp_path}/a")
+    assert archives.one_each(arc, arc.select("path")).rdd.getNumPartitions() == arc.count() > 20
+    found = archives.read_warc(archives.convert(arc, f"file://{tmp_path}/w"))
+    assert found.rdd.getNumPartitions() > 20 and found.where("record_type = 'response'").count() == 30 and found.count() == 90
+
+
+def test_facts_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(i % 3 if i > 30 else 9, i) for i in range(60)], "k long, i long")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    found = common.with_facts(rows, facts, ["k"], "i")
+    assert found.columns == ["k", "i", "top"] and sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.join(facts.drop("n"), "k").collect()))
+
+
 def test_archives_keep_every_record(spark, tmp_path):
     rows = [(1, "http://a.example/x y", "<p>é</p>", 0), (2, None, "<p>é</p>", 0), (3, "http://b.example/", None, 0), (4, "http://b.example/", "", 0), (5, "http://c.example/", "x\r\n\r\ny\n" * 30_000, 0), (5, "http://c.example/", "x\r\n\r\ny\n" * 30_000, 0), (None, "http://d.example/", "lone", 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, path int")

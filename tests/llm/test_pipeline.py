@@ -34,6 +34,7 @@ def test_stages_match_brute_force(spark, tmp_path):
             kept[name] = [(r.doc_id, r.text) for r in now.collect()]
     bad = {len(texts) - k for k in range(1, 6)}
     assert sorted(i for i, _ in kept["quality_rules"]) == sorted([i for i in range(len(texts)) if i not in bad] + [4])
+    assert all(t == texts[i] for i, t in kept["quality_rules"])
     prints = {i: plain_fingerprint(t) for i, t in kept["quality_rules"]}
     root = plain_components(prints)
     assert sorted(i for i, _ in kept["near_duplicates"]) == sorted({root[i] for i in prints})
@@ -49,3 +50,22 @@ def test_stages_match_brute_force(spark, tmp_path):
         sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
     assert max(sizes.values()) <= 2048
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, now.select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    texts, items = corpus()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _before string, key long, row long, quality long"
+    docs = spark.createDataFrame([(i, t, "en", f"src{i % 5}", len(t or ""), "b", 1, 2, 3) for i, t in enumerate(texts)], schema)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name != "best_fit_packing":
+            found = stage(spark, docs, str(tmp_path))
+            assert found.columns == docs.columns and {(r._before, r.key, r.row, r.quality) for r in found.collect()} == {("b", 1, 2, 3)}
+
+
+def test_failed_lines_leave_the_corpus(spark, tmp_path):
+    text = "The river was wide and the boat was small, so they waited for the morning.\nHome | About | News\n\nThen they went on."
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    want = text.replace("Home | About | News\n", "")
+    assert [(r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, docs, "").collect()] == [(want, len(want))]

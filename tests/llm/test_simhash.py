@@ -78,3 +78,12 @@ def test_empty_table_and_repeated_rows(spark):
     assert simhash.near_duplicates(none).count() == 0
     twice = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(twice).collect()] == [5, 5, 5]
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(5, "a b c d", 1, 2, "x"), (5, "a b c d", 1, 2, "x"), (3, "a b c d", 1, 2, "y"), (8, None, 1, 2, "z"), (9, "", 1, 2, "z"), (None, "q r s t u", 1, 2, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, _n int, row string")
+    found = simhash.one_of_each(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id in (3, 8)").collect()))
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
