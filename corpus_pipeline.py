@@ -1,8 +1,10 @@
 """A pipeline over ``documents``: quality rules, near-duplicates, decontamination, secrets, packing.
 
 Each stage works on all that its predecessor kept. All but the last return the
-columns of documents: the first three drop documents, the fourth replaces
-secrets within their texts, the last one packs what is left.
+columns of documents: the first drops lines and documents, the next two drop
+documents, the fourth replaces secrets within texts, the last one packs what is
+left. Columns beside those of documents stay as they are, whatever their names,
+and empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -15,28 +17,34 @@ from paperloom.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, with their texts as they were."""
-    return quality.clean_lines(docs).where("quality.kept").select(*docs.columns)
+    """Documents that the line-first rules keep, without the lines that fail.
+
+    Null, empty and short texts fail. Repeated rows stay repeated, however long a text is.
+    """
+    found = quality.clean_lines(docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))).where("quality.kept")
+    changed = F.col("quality.cleaned_text") != F.col("row.text")
+    n_chars = F.when(changed, F.length("quality.cleaned_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    made = {"text": F.col("quality.cleaned_text"), "n_chars": n_chars}
+    return found.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component, as simhash.one_of_each chooses it."""
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no item of benchmark."""
+    """Documents that leak no item of benchmark; repeated rows stay or go together, null texts stay."""
     return templates.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by their kinds."""
-    clean = secrets.redact(docs.withColumn("_before", F.col("text")))
-    return clean.withColumn("n_chars", F.when(F.col("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, secrets in their texts replaced by their kinds; null texts stay null."""
+    return secrets.redact(docs, n_chars="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, and their places in sequences."""
+    """The pieces of all documents, and their places in sequences; null texts are empty, repeated rows packed repeatedly."""
     return packing.pack_documents(docs)
 
 
