@@ -41,49 +41,65 @@ def field():
     return pii.fit(pii.labelled_rows())
 
 
-def test_stretches_give_the_best_path_of_the_whole_text(field):
+def test_every_word_is_decoded_by_the_best_path(field):
     rng = random.Random(3)
-    vocabulary = "the of Thoner edthe Mr. name is Anna Keller, 437-555-0142 12 street ssn 123-45-6789 a@b.co call | stock Éva under (437) 555-0689. Dr".split()
-    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))) for _ in range(200)]
+    vocabulary = "the of Thorne edge Mr. name is Anna Keller, 437-555-0142 12 street ssn 123-45-6789 a@b.co call | stock. Éva under (437) 555-0689. Dr Αθήνα %".split()
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))) + rng.choice(["", "\n", "\nlast words"]) for _ in range(200)]
     data = [t.encode() for t in texts]
     found = pii.Finder(field).chunk(texts, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
     for text, spans in zip(texts, found):
-        sentence = text.split()
-        if not sentence:
-            assert spans == []
-            continue
-        near = pii.near_seeds(sentence)
-        held = np.full((len(sentence), len(pii.TAGS)), 0.0)
-        for i, w in enumerate(sentence):
-            for f in pii.features(sentence, i):
-                held[i] += field.emit[field.vocabulary[f]] if f in field.vocabulary else 0
-            held[i, 1:] -= 0 if near[i] else 1e9
-        best = held[0] + field.move[0]
-        back = []
-        for row in held[1:]:
-            step = best[:, None] + field.move
-            back.append(step.argmax(0))
-            best = step.max(0) + row
-        tags = [int((best + field.move[:, 0]).argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        placed = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text)]
+        added = []
+        for line in re.finditer(r"[^\n]+", text):
+            places = [(m.start() + line.start(), m.end() + line.start(), m[0]) for m in re.finditer(r"\S+", line[0])]
+            while places:
+                n = next((i + 1 for i, p in enumerate(places) if p[2][-1] in ".!?" and len(p[2].encode()) > pii.SHORT + 1), len(places))
+                sentence, places = places[:n], places[n:]
+                score = field.scores(*pii.as_data([[p[2] for p in sentence]])).astype(float)
+                best, back = score[0] + field.move[0], []
+                for row in score[1:]:
+                    step = best[:, None] + field.move
+                    back.append(step.argmax(0))
+                    best = step.max(0) + row
+                tags = [int((best + field.move[:, 0]).argmax())]
+                for b in reversed(back):
+                    tags.append(int(b[tags[-1]]))
+                added += pii.tagged_spans(sentence, tags[::-1])
         base = plain_base(text)
-        added = [s for s in pii.tagged_spans(placed, tags[::-1]) if all(s[2] <= b[1] or b[2] <= s[1] for b in base)]
-        assert spans == sorted(base + added)
+        assert spans == sorted(base + [s for s in added if all(s[2] <= b[1] or b[2] <= s[1] for b in base)])
 
 
-def test_held_out_sentences(field):
+def spans_of(tags):
+    return {(i, next((j for j in range(i + 1, len(tags)) if not tags[j].startswith("I-")), len(tags)), t[2:]) for i, t in enumerate(tags) if t.startswith("B-")}
+
+
+def test_held_out_sentences():
+    """Fitted without every fourth labelled sentence; those and rows of other made-up words are the test."""
+    field = pii.fit(pii.labelled_rows([s for i, s in enumerate(pii.SENTENCES) if i % 4]))
+    held = [r for r in pii.labelled_rows(pii.SENTENCES[::4]) if r[0]][: -pii.MADE_UP] + pii.made_up_rows(300, seed=5)
+    data, starts, ends, first, last = pii.as_data([r[0] for r in held])
+    begin = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - begin
+    tags = [pii.TAGS[t] for t in pii.viterbi(field.scores(data, starts, ends, first, last), begin, size, field.move)]
+    right = wrong = missed = 0
+    for b, n, (_, gold) in zip(begin, size, held):
+        have, want = spans_of(tags[b : b + n]), spans_of(gold)
+        right, wrong, missed = right + len(have & want), wrong + len(have - want), missed + len(want - have)
+    print(f"held out: {right} right, {wrong} wrong, {missed} missed")
+    assert right >= 0.6 * (right + missed) and right >= 0.85 * (right + wrong)
+
+
+def test_sentences_without_hints(field):
     finder = pii.Finder(field)
     texts = {
-        "Yesterday Mr. Tomas Berg called, please contact Ines Duarte.": {"name:14:24", "name:48:59"},
+        "Yesterday Anna Berg walked home with Tomas Duarte.": {"name:10:19", "name:37:49"},
+        "Gestern sprach Karl Vogt mit dem Wirt.": {"name:15:24"},
+        "Hier soir Luc Moreau parlait avec Madame Petit.": {"name:10:20", "name:41:46"},
+        "Ayer Pablo Ortega habló con la señora Vega.": {"name:5:17", "name:38:42"},
         "tel 212-555-0147 for the desk": {"local_phone:4:16"},
         "her SSN is 219-09-9999 on the form": {"id_number:11:22"},
-        "passport no. K9876543 expired": {"id_number:13:21"},
         "They live at 31 Birch Lane near us": {"address:13:26"},
         "The name of the road is long and 14 of 20 called": set(),
         "Licensed under the Apache License, Version 2.0. In 1987 there were 300 dogs.": set(),
-        "Thoner Erheed. The Onre of Rethe": set(),
     }
     for text, want in texts.items():
         data = text.encode()
@@ -92,9 +108,9 @@ def test_held_out_sentences(field):
 
 
 def test_query_columns(spark):
-    rows = [(1, "mail jo@x.org or +1 (437) 555-0689 é 10.0.0.1", 0), (2, None, 0), (3, "", 0), (3, "", 0), (None, "Mr. Hans Maier", 0), (4, "1" * 50_000, 0)]
+    rows = [(1, "mail jo@x.org or +1 (437) 555-0689 é 10.0.0.1", 0), (2, None, 0), (3, "", 0), (3, "", 0), (None, "Mr. Hans Maier", 0), (4, "1" * 50_000, 0), (5, "v 1.2.3." + "0" * 5000, 0), (6, "Word " * 30_000, 0)]
     found = {r.doc_id: r for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, spans int"))).collect()}
-    assert len(found) == 5
+    assert len(found) == 7 and found[5].spans == "ip:2:5008"
     one = found[1]
     assert (one.n_email, one.n_ip, one.n_card, one.n_phone, one.n_added) == (1, 1, 0, 1, 0)
     assert one.spans == "email:5:13,ip:37:45,phone:17:34"
