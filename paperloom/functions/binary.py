@@ -21,6 +21,11 @@ def u32_list(data: Column) -> Column:
     return words(data, 4)
 
 
+def u16_at(data: Column, at: int) -> Column:
+    """The unsigned word of two bytes at a byte, null when data ends before; no other word is read."""
+    return F.when(F.octet_length(data) >= at + 2, F.get(words(F.substring(data, at + 1, 2), 2), 0))
+
+
 def u32_at(data: Column, at: int) -> Column:
     """The unsigned word at a byte, null when data ends before."""
     return F.when(F.octet_length(data) >= at + 4, F.get(words(F.substring(data, at + 1, 4), 4), 0))

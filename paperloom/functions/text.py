@@ -39,11 +39,14 @@ def strip_control_codes(text: str | Column) -> Column:
     return F.array_join(visible_lines(text), "\n")
 
 
+def segment_points(hangul: Column, ascii_: Column, size: Column) -> Column:
+    bonus = F.least(size, F.lit(80))
+    return F.when(hangul >= 2, hangul * 60 + ascii_ * 10 + bonus).when(ascii_ >= 4, ascii_ * 24 + bonus).otherwise(0)
+
+
 def segment_score(text: Column) -> Column:
     """Twentieths: 60 a Hangul syllable and 10 an ASCII letter or digit; without two syllables 24, from four on."""
-    hangul, ascii_ = count_of(text, HANGUL), count_of(text, ASCII_WORD)
-    bonus = F.least(F.length(text), F.lit(80))
-    return F.when(hangul >= 2, hangul * 60 + ascii_ * 10 + bonus).when(ascii_ >= 4, ascii_ * 24 + bonus).otherwise(0)
+    return segment_points(count_of(text, HANGUL), count_of(text, ASCII_WORD), F.length(text))
 
 
 def text_score(text: Column) -> Column:
@@ -54,16 +57,23 @@ def text_score(text: Column) -> Column:
     return F.when(hangul >= 2, hangul * 60 + ascii_ * 10 + more).when(ascii_ >= 4, ascii_ * 24 + more).otherwise(0)
 
 
-def ranked_segments(text: str | Column) -> Column:
-    """Scoring segments of meaningful characters, best first, as (score, length, place, segment)."""
+def scored_segments(text: str | Column) -> Column:
+    """Scoring segments of meaningful characters as (score, size, place, segment), negated so that the best one comes first; each is counted once."""
     parts = F.transform(F.split(strip_control_codes(text), NOT_MEANINGFUL), lambda x: F.trim(x, F.lit(" \t\n")))
-    scored = F.transform(parts, lambda x, i: F.struct((-segment_score(x)).alias("score"), (-F.length(x)).alias("size"), i.alias("place"), x.alias("segment")))
-    return F.array_sort(F.filter(scored, lambda s: s["score"] < 0))
+    parts = F.filter(parts, lambda x: x != "")
+    counted = F.transform(parts, lambda x, i: F.struct(count_of(x, HANGUL).alias("h"), count_of(x, ASCII_WORD).alias("a"), i.alias("place"), x.alias("segment")))
+    scored = F.transform(counted, lambda s: F.struct((-segment_points(s["h"], s["a"], F.length(s["segment"]))).alias("score"), (-F.length(s["segment"])).alias("size"), s["place"].alias("place"), s["segment"].alias("segment")))
+    return F.filter(scored, lambda s: s["score"] < 0)
+
+
+def ranked_segments(text: str | Column) -> Column:
+    """scored_segments, best first."""
+    return F.array_sort(scored_segments(text))
 
 
 def meaningful_text(text: str | Column) -> Column:
     """The best segment, the longer and then the earlier one on ties; empty without any."""
-    return F.coalesce(F.get(ranked_segments(text), 0)["segment"], F.lit(""))
+    return F.coalesce(F.array_min(scored_segments(text))["segment"], F.lit(""))
 
 
 def has_artifacts(text: Column) -> Column:
@@ -109,3 +119,33 @@ def pixel_size(line: Column) -> Column:
 def display_text(runs: str | Column) -> Column:
     """Texts of runs (kind, text, resolved_text) on end; fields show what they resolve to."""
     return F.array_join(F.transform(col(runs), lambda r: F.when(r["kind"] == "field", F.coalesce(r["resolved_text"], F.lit(""))).otherwise(F.coalesce(r["text"], F.lit("")))), "")
+
+
+def every_bold(children: Column) -> Column:
+    """Whether there are children (bold, size) and all are bold."""
+    return (F.size(children) > 0) & F.forall(children, lambda c: F.coalesce(c["bold"], F.lit(False)))
+
+
+def first_size(children: Column) -> Column:
+    """The first font size that a child has."""
+    return F.get(F.filter(F.transform(children, lambda c: c["size"]), lambda s: s.isNotNull()), 0)
+
+
+def has_mark(marks: Column, kind: str) -> Column:
+    """Whether marks (type, value) has one of a type."""
+    return F.exists(marks, lambda m: m["type"] == kind)
+
+
+def replace_mark(marks: Column, kind: str, value: Column) -> Column:
+    """marks with one of a type at the end, in place of all that it had of this type."""
+    return F.array_append(F.filter(marks, lambda m: m["type"] != kind), F.struct(F.lit(kind).alias("type"), value.alias("value")))
+
+
+def loads_in_browser(source: str | Column) -> Column:
+    """Whether a source is a path from the root or from here, an address, or a data URL."""
+    return F.coalesce(col(source).rlike(r"^(/|\./|\.\./|https?:|data:)"), F.lit(False))
+
+
+def search_roots(explicit: Column, default: Column) -> Column:
+    """The folders to search for images: those given explicitly instead of the default ones, each once, in order."""
+    return F.array_distinct(F.when(F.size(F.coalesce(explicit, F.array().cast("array<string>"))) > 0, explicit).otherwise(default))

@@ -101,10 +101,12 @@ def images(marked: DataFrame) -> DataFrame:
     )
 
 
-def body_blocks(records: DataFrame) -> DataFrame:
-    """Blocks (doc_id, stream, block_index, block_type, text, paragraph_type, table, image) of records of any number of documents."""
-    told = rc.record_texts(records)
-    marked = segmented(told)
+def body_blocks(records: DataFrame, marked: DataFrame | None = None, keep: tuple = ()) -> DataFrame:
+    """Blocks (doc_id, stream, block_index, block_type, text, paragraph_type, table, image) of records of any number of documents.
+
+    marked: segmented(record_texts(records)), if it is there already; keep: segment and para, if they are to stay.
+    """
+    marked = segmented(rc.record_texts(records)) if marked is None else marked
     paras = rc.paragraphs(marked.where("not in_special"), (*BY, "segment"))
     kind = marked.where("in_special").groupBy(*BY, "segment").agg(F.first("special_kind").alias("k"))
     # Noise before an image, and empty paragraphs before a table: by the special that opens the next segment.
@@ -117,13 +119,13 @@ def body_blocks(records: DataFrame) -> DataFrame:
     last = F.max(F.when(F.col("text_decoded") != "", F.col("para"))).over(Window.partitionBy(*BY, "segment"))
     hollow = F.coalesce(F.col("next_kind") == "table", F.lit(False)) & (F.col("para") > F.coalesce(last, F.lit(-1)))
     paras = paras.withColumn("_drop", noise | hollow).where("not _drop")
-    text = paras.select(*BY, "segment", (F.col("para") + 2).alias("ord"), F.lit("paragraph").alias("block_type"), F.col("text_decoded").alias("text"), "paragraph_type", F.lit("bodytext_paragraph_records").alias("text_origin"))
+    text = paras.select(*BY, "segment", "para", (F.col("para") + 2).alias("ord"), F.lit("paragraph").alias("block_type"), F.col("text_decoded").alias("text"), "paragraph_type", F.lit("bodytext_paragraph_records").alias("text_origin"))
     shown = images(marked)
     caption = shown.where("visible <> ''").select(*BY, "segment", F.lit(0).cast("long").alias("ord"), F.lit("paragraph").alias("block_type"), F.col("visible").alias("text"), F.lit("text_paragraph").alias("paragraph_type"), F.lit("image_control_visible_text").alias("text_origin"))
     image = shown.select(*BY, "segment", F.lit(1).cast("long").alias("ord"), F.lit("image").alias("block_type"), F.struct("width", "height", "alt_text", "original_filename", "original_size_text", "source_record_index").alias("image"))
     table = tables(marked).select(*BY, "segment", F.lit(1).cast("long").alias("ord"), F.lit("table").alias("block_type"), F.struct("row_count", "column_count", "cells").alias("table"))
     every = text.unionByName(caption, allowMissingColumns=True).unionByName(image, allowMissingColumns=True).unionByName(table, allowMissingColumns=True)
-    return wn.clean_blocks(every, BY, ["segment", "ord"]).drop("segment", "ord")
+    return wn.clean_blocks(every, BY, ["segment", "ord"]).drop(*{"segment", "ord", "para"} - {*keep})
 
 
 def style_tables(docinfo: DataFrame) -> tuple[DataFrame, DataFrame]:

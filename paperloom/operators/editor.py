@@ -118,12 +118,16 @@ def blocks_of_nodes(tree: DataFrame, original: DataFrame | None = None, by_posit
     para, table, image = (F.col("type") == k for k in KINDS)
     url = F.col("src").startswith("data:")
     told = F.array_join(F.transform(runs, lambda r: r["text"]), "")
+    # A row and a cell take over from those at their place in the table that the block takes over from.
+    old = lambda r: F.get(t["rows"], r["row"].cast("int"))
+    cell_of = lambda r: lambda c, k: c.withField("source_record_index", F.get(old(r)["cells"], k)["source_record_index"]).withField("raw", F.get(old(r)["cells"], k)["raw"])
+    row = lambda r: F.struct(old(r)["source_index"].alias("source_index"), F.transform(r["cells"], cell_of(r)).alias("cells"))
     block = F.struct(
         F.col("type").alias("block_type"), t["source_path"].alias("source_path"), t["source_index"].alias("source_index"),
         F.when(para, F.coalesce(t["paragraph_type"], F.lit("text_paragraph"))).alias("paragraph_type"), F.when(para, told == "").alias("is_empty"), F.when(para, told).alias("text"),
         F.when(para, F.struct(F.coalesce("align", F.lit("left")).alias("alignment"), t["paragraph_style"]["style_ref"].alias("style_ref"))).alias("paragraph_style"), F.when(para, listed).alias("list_info"), F.when(para, runs).alias("text_runs"),
         F.when(table, F.coalesce(t["row_count"], F.size("rows"))).alias("row_count"), F.when(table, F.coalesce(t["column_count"], F.col("columns").cast("int"))).alias("column_count"),
-        F.when(table, F.transform("rows", lambda r: F.struct(F.lit(None).cast("int").alias("source_index"), r["cells"].alias("cells")))).alias("rows"),
+        F.when(table, F.transform("rows", row)).alias("rows"),
         t["source_ref"].alias("source_ref"), t["source_record_index"].alias("source_record_index"), F.when(image, F.when(F.col("src").isNotNull() & ~url, F.col("src")).otherwise(t["binary_stream_ref"])).alias("binary_stream_ref"),
         F.when(image, F.coalesce("width", t["width"])).cast("int").alias("width"), F.when(image, F.coalesce("height", t["height"])).cast("int").alias("height"), t["placement"].alias("placement"), F.when(image, F.coalesce("alt", t["alt_text"])).alias("alt_text"),
         t["original_filename"].alias("original_filename"), t["original_size_text"].alias("original_size_text"), F.when(image & url, F.to_json(F.struct(F.col("src").alias("replacement_data_url")))).otherwise(t["raw"]).alias("raw"),

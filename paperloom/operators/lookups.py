@@ -63,13 +63,14 @@ def leaf(path: Column) -> Column:
 def resolve_suffix(wanted: DataFrame, files: DataFrame, suffix: str = "suffix", path: str = "path") -> DataFrame:
     """The one file whose path ends in the suffix at a component; resolved is null with none or several, matches says how many.
 
-    Both sides meet by the last component, so no pair without it is formed.
+    A path stands under each of its endings, which are counted before both sides
+    meet by the whole suffix; names that many paths end in form no pairs.
     """
-    asked = wanted.select(suffix).distinct().withColumn("_leaf", leaf(F.col(suffix)))
-    held = files.select(path).distinct().withColumn("_leaf", leaf(F.col(path)))
-    fits = (F.col(path) == F.col(suffix)) | F.col(path).endswith(F.concat(F.lit("/"), F.col(suffix)))
-    found = asked.join(held, "_leaf").where(fits).groupBy(suffix).agg(F.count("*").alias("matches"), F.min(path).alias("_path"))
-    found = asked.select(suffix).join(found, suffix, "left")
+    asked = wanted.select(suffix).distinct()
+    held = files.select(path).distinct().withColumn("_parts", F.split(path, "/"))
+    endings = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.array_join(F.slice("_parts", i, F.size("_parts")), "/"))
+    held = held.select(path, F.explode(endings).alias(suffix)).groupBy(suffix).agg(F.count("*").alias("matches"), F.min(path).alias("_path"))
+    found = asked.join(held, suffix, "left")
     return found.select(suffix, F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.when(F.col("matches") == 1, F.col("_path")).alias("resolved"))
 
 

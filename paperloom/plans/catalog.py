@@ -7,13 +7,14 @@ conversation are paragraphs, lines of an order are records or cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import binary as bn
 from paperloom.functions import text as tx
 from paperloom.operators import editor as et
 from paperloom.operators import edits as ed
+from paperloom.operators import importing as im
 from paperloom.operators import lookups as lk
 from paperloom.operators import windows as wn
 from paperloom.sources import containers as ct
@@ -187,7 +188,7 @@ def stream_metadata(spark, sf_dir):
 def little_endian_words(spark, sf_dir):
     """B1."""
     html = F.col("html").cast("binary")
-    return table(spark, sf_dir, "pages").select("page_id", F.get(bn.u16_list(html), 0).alias("first_u16"), bn.u32_at(html, 4).alias("second_u32"))
+    return table(spark, sf_dir, "pages").select("page_id", bn.u16_at(html, 0).alias("first_u16"), bn.u32_at(html, 4).alias("second_u32"))
 
 
 @query("SELECT page_id, 'data:image/png;base64,' || base64(encode(html)) AS url, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages")
@@ -450,3 +451,68 @@ def visible_blocks(spark, sf_dir):
     """K4, A1: blocks that show something."""
     docs = _documents(spark, sf_dir)
     return docs.select("doc_id", F.size("blocks").cast("long").alias("n_blocks"), F.size(F.filter("blocks", et.is_visible)).cast("long").alias("n_visible"))
+
+
+_CHILDREN = "SELECT conv_id, list({'bold': role = 'user', 'size': CASE WHEN turn > 1 THEN turn END} ORDER BY turn) AS c FROM conversations GROUP BY conv_id"
+
+
+@query(f"SELECT conv_id, len(list_filter(c, lambda x: NOT x.bold)) = 0 AS every_bold, CAST(list_filter(list_transform(c, lambda x: x.size), lambda x: x IS NOT NULL)[1] AS BIGINT) AS first_size FROM ({_CHILDREN})")
+def child_styles(spark, sf_dir):
+    """Whether every child is bold, and the first font size."""
+    child = F.struct("turn", F.struct((F.col("role") == "user").alias("bold"), F.when(F.col("turn") > 1, F.col("turn").cast("long")).alias("size")).alias("c"))
+    df = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["c"]).alias("c"))
+    return df.select("conv_id", tx.every_bold(F.col("c")).alias("every_bold"), tx.first_size(F.col("c")).alias("first_size"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, list_contains(k, 'R') AS has_r, array_to_string(list_append(list_filter(k, lambda x: x <> 'R'), 'R'), ',') AS marks FROM (SELECT *, [l_returnflag, l_linestatus, 'R'][1:1 + l_linenumber % 3] AS k FROM lineitem)")
+def replaced_marks(spark, sf_dir):
+    """Marks of a type replaced by one."""
+    mark = lambda c: F.struct(c.alias("type"), F.lit("old").alias("value"))
+    marks = F.slice(F.array(mark(F.col("l_returnflag")), mark(F.col("l_linestatus")), mark(F.lit("R"))), F.lit(1), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", marks.alias("m"))
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", tx.has_mark(F.col("m"), "R").alias("has_r"), F.array_join(F.transform(tx.replace_mark(F.col("m"), "R", F.lit("new")), lambda x: x["type"]), ",").alias("marks"))
+
+
+_SOURCE = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN './' || url WHEN 2 THEN 'data:' || url WHEN 3 THEN 'a/' || url END"
+
+
+@query(rf"SELECT page_id, coalesce(regexp_matches({_SOURCE}, '^(/|\./|\.\./|https?:|data:)'), false) AS loads FROM pages")
+def loadable_sources(spark, sf_dir):
+    """Sources that a browser can load."""
+    return table(spark, sf_dir, "pages").select("page_id", tx.loads_in_browser(F.expr(_SOURCE)).alias("loads"))
+
+
+@query("SELECT c_custkey, array_to_string(CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_mktsegment = c_phone THEN [c_phone] ELSE [c_mktsegment, c_phone] END ELSE ['media', '.'] END, ':') AS roots FROM customer")
+def image_search_roots(spark, sf_dir):
+    """Explicit roots replace the default ones, each once."""
+    given = F.when(F.col("c_custkey") % 3 == 0, F.array("c_mktsegment", "c_phone", "c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.array().cast("array<string>"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(tx.search_roots(given, F.array(F.lit("media"), F.lit("."), F.lit("media"))), ":").alias("roots"))
+
+
+@query("""SELECT host AS doc_id, '{"stream_count":' || count(*) || ',"streams":[' || string_agg('{"path":"' || path || '","size":' || size || ',"sha256":"' || sha || '"}', ',' ORDER BY path) || ']}' AS json
+FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, 'p' || lpad(CAST(page_id AS VARCHAR), 12, '0') AS path, strlen(html) AS size, sha256(html) AS sha FROM pages) GROUP BY host""")
+def dump_summary(spark, sf_dir):
+    """K1: the streams of each file with size and digest."""
+    pages = table(spark, sf_dir, "pages")
+    path = F.concat(F.lit("p"), F.lpad(F.col("page_id").cast("string"), 12, "0"))
+    return im.dump_summary(pages.select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("doc_id"), path.alias("path"), F.col("html").cast("binary").alias("payload")))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(n - 1 AS BIGINT) AS para, CAST(n % 3 AS BIGINT) AS para_ref, CASE n % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS alignment, CASE WHEN n % 3 < 2 THEN n % 2 = 0 END AS bold, CASE WHEN n % 3 < 2 THEN 10.0 + n % 2 END AS font_size_pt,
+  CASE WHEN n % 3 = 1 THEN row_number() OVER (PARTITION BY o_custkey, n % 3 ORDER BY n) || '.' END AS marker_text FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)""")
+def paragraph_styles(spark, sf_dir):
+    """Orders as paragraphs of customers' documents, with references into style tables, some of which these lack."""
+    le = lambda *n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(x, k).bitwiseAND(F.lit(255))), 2, "0") for x in n for k in (0, 8, 16, 24)]))
+    num = lambda x: F.lit(x).cast("long")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), n.alias("n"))
+    char_ref = F.when(F.col("n") % 3 < 2, F.col("n") % 2).otherwise(F.lit(9).cast("long"))
+    head = F.struct((F.col("n") * 2).alias("idx"), F.lit(0).alias("level"), F.lit(66).alias("tag_id"), le(num(0), num(0), F.col("n") % 3).alias("payload"))
+    char = F.struct((F.col("n") * 2 + 1).alias("idx"), F.lit(1).alias("level"), F.lit(68).alias("tag_id"), le(num(0), char_ref).alias("payload"))
+    records = orders.select("doc_id", F.inline(F.array(head, char)))
+    para = lambda flags, bits: le(num(flags), *[num(0)] * 6, num(bits))
+    shape = lambda size, flags: le(*[num(0)] * 10, num(size * 6553600), num(flags))
+    made = [(21, shape(10, 0x20000)), (21, shape(11, 0)), (25, para(4, 0)), (25, para(8, 5 << 16 | 1))]
+    docinfo = orders.select("doc_id").distinct().select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(t).alias("tag_id"), p.alias("payload")) for k, (t, p) in enumerate(made)])))
+    found = im.paragraph_styles(records, docinfo, ["doc_id"])
+    return found.select("doc_id", "para", F.col("para_ref").cast("long").alias("para_ref"), "alignment", "bold", F.col("font_size_pt").cast("double").alias("font_size_pt"), "marker_text")
