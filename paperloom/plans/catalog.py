@@ -482,10 +482,10 @@ def loadable_sources(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.loads_in_browser(F.expr(_SOURCE)).alias("loads"))
 
 
-@query("SELECT c_custkey, array_to_string(CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_mktsegment = c_phone THEN [c_phone] ELSE [c_mktsegment, c_phone] END ELSE ['media', '.'] END, ':') AS roots FROM customer")
+@query("SELECT c_custkey, array_to_string(CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_mktsegment = c_name THEN [c_name] ELSE [c_mktsegment, c_name] END ELSE ['media', '.'] END, ':') AS roots FROM customer")
 def image_search_roots(spark, sf_dir):
     """Explicit roots replace the default ones, each once."""
-    given = F.when(F.col("c_custkey") % 3 == 0, F.array("c_mktsegment", "c_phone", "c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.array().cast("array<string>"))
+    given = F.when(F.col("c_custkey") % 3 == 0, F.array("c_mktsegment", "c_name", "c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.array().cast("array<string>"))
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(tx.search_roots(given, F.array(F.lit("media"), F.lit("."), F.lit("media"))), ":").alias("roots"))
 
 
