@@ -37,11 +37,13 @@ def shape_of(json: str | Column) -> Column:
     return F.when((F.get_json_object(json, "$.type") == "doc") & F.get_json_object(json, "$.children").isNotNull(), "editor").when(F.get_json_object(json, "$.blocks").isNotNull(), "document")
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, regions: tuple[str, ...] = ("body", "header", "footer")) -> DataFrame:
     """(doc_id, region, ord, block) of documents; unknown block types are left out, and ordinals are of what stays."""
-    known = lambda c: F.filter(c, lambda b: b["block_type"].isin(*KINDS))
-    part = lambda region, c: docs.select("doc_id", F.lit(region).alias("region"), F.posexplode(known(c)).alias("ord", "block"))
-    return part("body", F.col("blocks")).union(part("header", F.col("header.blocks"))).union(part("footer", F.col("footer.blocks")))
+    held = {"body": F.col("blocks"), "header": F.col("header.blocks"), "footer": F.col("footer.blocks")}
+    placed = lambda r: lambda b, k: F.struct(F.lit(r).alias("region"), k.alias("ord"), b.alias("block"))
+    part = lambda r: F.transform(F.filter(held[r], lambda b: b["block_type"].isin(*KINDS)), placed(r))
+    none = F.array().cast(f"array<struct<region:string,ord:int,block:{BLOCK}>>")
+    return docs.select("doc_id", F.inline(F.concat(*[F.coalesce(part(r), none) for r in regions])))
 
 
 def is_visible(block: Column) -> Column:
@@ -62,7 +64,7 @@ def nodes(docs: DataFrame) -> DataFrame:
 
     Runs that show nothing have no node. Ids count by type in document order.
     """
-    body = blocks(docs).where("region = 'body'").select("doc_id", F.array(F.col("ord").cast("long")).alias("path"), "block")
+    body = blocks(docs, ("body",)).select("doc_id", F.array(F.col("ord").cast("long")).alias("path"), "block")
     kind = F.col("block.list_info.kind")
     paragraph = body.where("block.block_type = 'paragraph'").select("doc_id", "path", F.lit("paragraph").alias("type"), F.coalesce("block.paragraph_style.alignment", F.lit("left")).alias("align"), F.when(kind == "numbered", "numbered").when(kind == "bulleted", "bullet").otherwise("none").alias("list"), F.col("block.list_info.level").alias("level"))
     shown = F.when(F.col("r.kind") == "field", F.col("r.resolved_text")).otherwise(F.col("r.text"))
@@ -92,15 +94,18 @@ def blocks_of_nodes(tree: DataFrame, original: DataFrame | None = None, by_posit
 
     original: blocks() of the document before the edits. The n-th paragraph,
     table and image take over from the n-th of their type. A cell's grid column
-    comes from the spans before it; with by_position it is its place in the row.
+    comes from the spans before and above it; with by_position it is its place in the row.
     """
     top = tree.where(F.size("path") == 1).select("doc_id", F.col("path")[0].alias("ord"), "type", "align", "list", "level", "src", "width", "height", "alt")
     text = tree.where((F.col("type") == "text") & (F.size("path") == 2)).groupBy("doc_id", F.col("path")[0].alias("ord")).agg(F.array_sort(F.collect_list(F.struct(F.col("path")[1].alias("k"), "text", "bold", "size"))).alias("runs"))
     said = tree.where((F.col("type") == "text") & (F.size("path") == 5)).groupBy("doc_id", F.slice("path", 1, 3).alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda s: s["text"]), "").alias("said"))
     cells = tree.where("type = 'tableCell'").select("doc_id", "path", F.coalesce("colspan", F.lit(1)).alias("colspan"), F.coalesce("rowspan", F.lit(1)).alias("rowspan")).join(said, ["doc_id", "path"], "left")
     cells = cells.select("doc_id", F.col("path")[0].alias("ord"), F.col("path")[1].alias("row"), F.col("path")[2].alias("k"), "colspan", "rowspan", F.coalesce("said", F.lit("")).alias("text"))
-    cells = wn.grid_positions(cells, ["doc_id", "ord", "row"], ["k"], "colspan", "grid")
-    cells = cells.withColumn("column", F.col("k") if by_position else F.col("grid"))
+    if by_position:
+        cells = cells.withColumn("column", F.col("k"))
+    else:
+        cell = F.struct("row", "k", F.col("colspan").cast("long").alias("colspan"), F.col("rowspan").cast("long").alias("rowspan"), "text")
+        cells = cells.groupBy("doc_id", "ord").agg(F.collect_list(cell).alias("cells")).select("doc_id", "ord", F.inline(wn.free_columns("cells"))).select("doc_id", "ord", "column", "c.*")
     cell = F.struct("k", F.struct(F.col("text"), F.col("row").cast("int").alias("row_index"), F.col("column").cast("int").alias("column_index"), F.col("colspan").cast("int").alias("colspan"), F.col("rowspan").cast("int").alias("rowspan"), F.lit(None).cast("int").alias("source_record_index"), F.lit(None).cast("string").alias("raw")).alias("c"))
     rows = cells.groupBy("doc_id", "ord", "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.sum("colspan").alias("width"))
     rows = rows.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("row", F.transform("cells", lambda s: s["c"]).alias("cells")))).alias("rows"), F.max("width").alias("columns"))

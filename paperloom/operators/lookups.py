@@ -32,7 +32,7 @@ def not_consumed(df: DataFrame, consumed: DataFrame, on: list[str]) -> DataFrame
 def numbering_kind(paragraphs: DataFrame, style_numbers: DataFrame, abstracts: DataFrame, formats: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Resolves list kinds: a paragraph's own number, else its style's; its abstract list; the level's format; else the style's name.
 
-    paragraphs: doc, style_id, style_name, num_id, ilvl. Adds kind and level.
+    paragraphs: doc, style_id, style_name, num_id, ilvl. Adds kind, level and numbering_ref, and what formats has beside.
     """
     df = paragraphs.join(style_numbers.withColumnsRenamed({"num_id": "_style_num", "ilvl": "_style_level"}), [doc, "style_id"], "left")
     df = df.withColumn("_num", F.coalesce("num_id", "_style_num")).withColumn("level", F.coalesce("ilvl", "_style_level", F.lit(0)))
@@ -41,7 +41,7 @@ def numbering_kind(paragraphs: DataFrame, style_numbers: DataFrame, abstracts: D
     name = F.lower(F.coalesce("style_name", F.lit("")))
     by_name = F.when(name.startswith("list number"), "numbered").when(name.startswith("list bullet"), "bulleted")
     by_format = F.when(F.col("format").isin(*BULLETED_FORMATS), "bulleted").when(F.col("format").isin(*NUMBERED_FORMATS), "numbered")
-    return df.withColumn("kind", F.coalesce(by_format, by_name)).drop("_style_num", "_style_level", "_num")
+    return df.withColumn("kind", F.coalesce(by_format, by_name)).withColumnRenamed("_num", "numbering_ref").drop("_style_num", "_style_level")
 
 
 def ordinal_join(left: DataFrame, right: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import binary as bn
 from paperloom.functions import text as tx
+from paperloom.operators import converting as cv
 from paperloom.operators import editor as et
 from paperloom.operators import edits as ed
 from paperloom.operators import importing as im
@@ -498,7 +499,7 @@ def dump_summary(spark, sf_dir):
     return im.dump_summary(pages.select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("doc_id"), path.alias("path"), F.col("html").cast("binary").alias("payload")))
 
 
-@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(n - 1 AS BIGINT) AS para, CAST(n % 3 AS BIGINT) AS para_ref, CASE n % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS alignment, CASE WHEN n % 3 < 2 THEN n % 2 = 0 END AS bold, CASE WHEN n % 3 < 2 THEN 10.0 + n % 2 END AS font_size_pt,
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(n - 1 AS BIGINT) AS para, CAST(n % 3 AS BIGINT) AS para_ref, CASE n % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS alignment, CASE WHEN n % 3 < 2 THEN n % 2 = 0 END AS bold, CASE WHEN n % 3 < 2 THEN CAST(10 + n % 2 AS DOUBLE) END AS font_size_pt,
   CASE WHEN n % 3 = 1 THEN row_number() OVER (PARTITION BY o_custkey, n % 3 ORDER BY n) || '.' END AS marker_text FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)""")
 def paragraph_styles(spark, sf_dir):
     """Orders as paragraphs of customers' documents, with references into style tables, some of which these lack."""
@@ -516,3 +517,59 @@ def paragraph_styles(spark, sf_dir):
     docinfo = orders.select("doc_id").distinct().select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(t).alias("tag_id"), p.alias("payload")) for k, (t, p) in enumerate(made)])))
     found = im.paragraph_styles(records, docinfo, ["doc_id"])
     return found.select("doc_id", "para", F.col("para_ref").cast("long").alias("para_ref"), "alignment", "bold", F.col("font_size_pt").cast("double").alias("font_size_pt"), "marker_text")
+
+
+def _as_files(written: DataFrame) -> DataFrame:
+    return im.cut(written.select("doc_id", F.lit("docx").alias("kind"), F.col("docx").alias("content")))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, CASE WHEN role = 'system' THEN 'table' ELSE 'paragraph' END AS block_type, text,
+  CASE WHEN role <> 'system' AND text <> '' THEN role = 'user' END AS bold, CASE WHEN role <> 'system' AND text <> '' THEN CAST(turn AS DOUBLE) END AS size, CASE WHEN role = 'system' THEN 1 END AS column_count FROM conversations""")
+def document_files(spark, sf_dir):
+    """3.2, 3.3, K5, K8, S10, F8, F9, A4: documents written as files and imported as documents again."""
+    back = et.blocks(cv.docx_documents(_as_files(cv.export_documents(_documents(spark, sf_dir)))))
+    b = F.col("block")
+    first = F.get(b["text_runs"], 0)["character_style"]
+    text = F.coalesce(b["text"], F.get(F.get(b["rows"], 0)["cells"], 0)["text"])
+    return back.select("doc_id", F.col("ord").cast("long").alias("ord"), b["block_type"].alias("block_type"), text.alias("text"), first["bold"].alias("bold"), first["font_size_pt"].alias("size"), b["column_count"].alias("column_count"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, c_custkey % 40 + 1 AS width, c_name AS alt, 'word/media/image1.png' AS ref, unhex('89504E470D0A1A0A') || encode(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE c_name END) AS data FROM customer WHERE c_custkey % 4 < 3""")
+def document_images(spark, sf_dir):
+    """An image in each file, found by the end of its path or replaced; one that two files fit is left out."""
+    rows = table(spark, sf_dir, "customer")
+    key, magic = F.col("c_custkey"), F.unhex(F.lit("89504E470D0A1A0A"))
+    held = lambda c: F.concat(magic, F.encode(c, "UTF-8"))
+    replaced = F.to_json(F.struct(F.when(key % 4 == 0, F.concat(F.lit("data:image/png;base64,"), F.base64(held("c_mktsegment")))).alias("replacement_data_url")))
+    block = im.as_block(block_type=F.lit("image"), binary_stream_ref=F.lit("media/a.png"), width=(key % 40 + 1), height=F.lit(7), alt_text=F.col("c_name"), raw=replaced)
+    blocks = rows.select(key.cast("string").alias("doc_id"), F.lit("body").alias("region"), F.lit(0).alias("ord"), block.alias("block"))
+    paths = F.when(key % 4 == 3, F.array(F.lit("x/media/a.png"), F.lit("y/media/a.png"))).otherwise(F.array(F.lit("x/media/a.png"), F.lit("y/other-media/a.png")))
+    media = rows.select(key.cast("string").alias("doc_id"), F.explode(paths).alias("path"), held("c_name").alias("payload"))
+    files = _as_files(dw.write_docx(cv.writer_blocks(blocks, media)))
+    found = et.blocks(cv.docx_documents(files)).select("doc_id", F.col("block.width").cast("long").alias("width"), F.col("block.alt_text").alias("alt"), F.col("block.binary_stream_ref").alias("ref"))
+    return found.join(ct.docx_media(files).select("doc_id", F.col("path").alias("ref"), F.col("payload").alias("data")), ["doc_id", "ref"])
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS source_index, CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE o_orderpriority END AS text, o_orderkey % 3 = 2 AS is_empty, CASE WHEN o_orderkey % 2 = 0 THEN 'center' END AS alignment,
+  CAST(o_orderkey % 5 AS BIGINT) AS style_ref, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 = 0 END AS bold, CASE WHEN o_orderkey % 3 = 0 THEN 8 WHEN o_orderkey % 3 = 1 THEN 7 END AS char_ref FROM orders""")
+def style_reports(spark, sf_dir):
+    """Orders as paragraphs of customers' style reports, with runs, with text alone, with neither."""
+    k = F.col("o_orderkey")
+    run = F.struct(F.col("o_orderpriority").alias("text"), F.lit(8).alias("char_style_ref"), F.struct((k % 4 == 0).alias("bold"), F.lit(9).alias("style_ref")).alias("char_style"))
+    style = F.struct(F.when(k % 2 == 0, "center").alias("alignment"), F.when(k % 5 < 3, k % 5).otherwise(F.lit(99)).alias("style_ref"))
+    one = F.struct(k.alias("index"), F.when(k % 3 == 1, F.col("o_orderpriority")).alias("text_decoded"), F.when(k % 5 >= 3, k % 5).alias("paragraph_style_ref"), F.lit(7).alias("char_style_ref"), style.alias("paragraph_style"), F.when(k % 3 == 0, F.array(run)).alias("text_runs"))
+    reports = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("doc_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("paragraphs"))).alias("json"))
+    docs = cv.style_documents(reports.select("doc_id", F.inline(F.array(F.from_json("json", cv.REPORT)))))
+    b = F.col("block")
+    first = F.get(b["text_runs"], 0)["character_style"]
+    found = et.blocks(docs).select("doc_id", b["source_index"].cast("long").alias("source_index"), b["text"].alias("text"), b["is_empty"].alias("is_empty"), b["paragraph_style"]["alignment"].alias("alignment"), b["paragraph_style"]["style_ref"].cast("long").alias("style_ref"), first["bold"].alias("bold"), first["style_ref"].alias("char_ref"))
+    return found
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'BodyText/Section0' AS stream, '{"source_path":"BodyText/Section0","decoded_size":' || max(54 * l_linenumber) || ',"record_count":' || count(*) || ',"records":[' ||
+  string_agg('{"index":' || l_linenumber || ',"offset":' || 54 * l_linenumber - 54 || ',"tag_id":' || l_suppkey % 99 || ',"level":' || l_partkey % 5 || ',"size":50,"header_size":4,"payload_preview_hex":"' || repeat(lower(hex(l_returnflag)), 32) || '"}', ',' ORDER BY l_linenumber, l_suppkey % 99, l_partkey % 5, l_returnflag) || ']}' AS json FROM lineitem GROUP BY l_orderkey""")
+def record_reports(spark, sf_dir):
+    """The records of each stream as JSON."""
+    n = F.col("l_linenumber").cast("long")
+    records = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("BodyText/Section0").alias("stream"), n.alias("idx"), (54 * n - 54).alias("offset"), (F.col("l_suppkey") % 99).alias("tag_id"), (F.col("l_partkey") % 5).alias("level"), F.lit(50).cast("long").alias("size"), F.lit(4).alias("header_size"), F.encode(F.repeat("l_returnflag", F.lit(50)), "UTF-8").alias("payload"))
+    return cv.record_report(records)

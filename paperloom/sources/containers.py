@@ -10,12 +10,14 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.sources.batches import batched
+
 OLE_MAGIC = "D0CF11E0A1B11AE1"
 STREAMS = "doc_id string, path string, payload binary"
 # Streams that are read, and names of zipped parts that stand for them.
@@ -109,7 +111,7 @@ def streams(files: DataFrame, wanted_only: bool = True) -> DataFrame:
     path is the logical name. With wanted_only, just what documents are made of.
     """
 
-    def run(frames):
+    def found(frames):
         for frame in frames:
             for doc, kind, content in frame.itertuples(index=False):
                 rows = []
@@ -120,7 +122,10 @@ def streams(files: DataFrame, wanted_only: bool = True) -> DataFrame:
                             rows.append((doc, logical, path, payload, None))
                 except Exception as e:  # of the file, whatever its damage
                     rows = [(doc, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["doc_id", "path", "source_path", "payload", "error"])
+                yield from rows
+
+    def run(frames):
+        yield from batched(found(frames), ["doc_id", "path", "source_path", "payload", "error"])
 
     return files.where("kind in ('ole', 'hwpx')").select("doc_id", "kind", "content").mapInPandas(run, "doc_id string, path string, source_path string, payload binary, error string")
 
@@ -133,9 +138,9 @@ def listing(files: DataFrame) -> DataFrame:
 BLOCKS = (
     "doc_id string, region string, ord int, kind string, text string, style_id string, style_name string, alignment string, num_id int, ilvl int, "
     "runs array<struct<text:string,bold:boolean,size:double>>, image struct<rel_id:string,name:string,alt:string,cx:long,cy:long,data:binary>, "
-    "cells array<struct<row:int,position:int,colspan:int,merge:string,text:string>>, error string"
+    "cells array<struct<row:int,position:int,colspan:int,merge:string,text:string>>, part string, error string"
 )
-DOCX_COLUMNS = ("doc_id", "region", "ord", "kind", "text", "style_id", "style_name", "alignment", "num_id", "ilvl", "runs", "image", "cells", "error")
+DOCX_COLUMNS = ("doc_id", "region", "ord", "kind", "text", "style_id", "style_name", "alignment", "num_id", "ilvl", "runs", "image", "cells", "part", "error")
 # Alignments that are kept.
 ALIGNMENTS = {"left": "left", "start": "left", "center": "center", "right": "right", "end": "right"}
 
@@ -200,35 +205,60 @@ def _docx_rows(data: bytes):
 
             return media
 
+        tree("word/numbering.xml")  # damage there is damage of the file
         body = tree("word/document.xml").find(f"{W}body")
-        yield from (r | {"region": "body"} for r in _part_blocks(body, "body", names, media_of(main)))
+        yield from (r | {"region": "body", "part": "word/document.xml"} for r in _part_blocks(body, "body", names, media_of(main)))
         section = next(body.iter(f"{W}sectPr"), None)
         for kind in ("header", "footer"):
             for ref in section.findall(f"{W}{kind}Reference")[:1] if section is not None else ():
                 part = main.get(ref.get(f"{R}id"), ("", ""))[1]
                 if f"word/{part}" in held:
-                    yield from (r | {"region": kind} for r in _part_blocks(tree(f"word/{part}"), kind, names, media_of(relations(f"word/_rels/{part}.rels"))))
+                    yield from (r | {"region": kind, "part": f"word/{part}"} for r in _part_blocks(tree(f"word/{part}"), kind, names, media_of(relations(f"word/_rels/{part}.rels"))))
 
 
 def docx_blocks(files: DataFrame) -> DataFrame:
     """Blocks of zipped word-processing files in the order of each region; a damaged file has a row with its error."""
 
-    def run(frames):
+    def found(frames):
         for frame in frames:
             for doc, content in frame.itertuples(index=False):
                 try:
                     rows = [r | {"doc_id": doc, "ord": n} for n, r in enumerate(_docx_rows(bytes(content)))]
                 except Exception as e:  # of the file, whatever its damage
                     rows = [{"doc_id": doc, "ord": 0, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame([[r.get(c) for c in DOCX_COLUMNS] for r in rows], columns=DOCX_COLUMNS)
+                yield from ([r.get(c) for c in DOCX_COLUMNS] for r in rows)
+
+    def run(frames):
+        yield from batched(found(frames), DOCX_COLUMNS)
 
     return files.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, BLOCKS)
 
 
-def docx_numbering(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The dimensions that lookups.numbering_kind joins: styles' numbers, numbers' abstract lists, their levels' formats."""
+def docx_media(files: DataFrame) -> DataFrame:
+    """(doc_id, path, payload) of all media of word-processing files, path being word/media/ and the base name; damaged files have none."""
+
+    def found(frames):
+        for frame in frames:
+            for doc, content in frame.itertuples(index=False):
+                try:
+                    rows = [(doc, f"word/media/{n.rsplit('/', 1)[-1]}", x) for n, x in zip_streams(bytes(content)) if n.startswith("word/media/")]
+                except (zipfile.BadZipFile, zlib.error):
+                    rows = []
+                yield from rows
 
     def run(frames):
+        yield from batched(found(frames), ["doc_id", "path", "payload"])
+
+    return files.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, STREAMS)
+
+
+def docx_numbering(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dimensions that lookups.numbering_kind joins: styles' numbers, numbers' abstract lists, their levels' formats and texts.
+
+    Entries that lack a number are left out. A damaged file has none; docx_blocks gives its error.
+    """
+
+    def rows_of(frames):
         for frame in frames:
             for doc, content in frame.itertuples(index=False):
                 rows = []
@@ -236,20 +266,23 @@ def docx_numbering(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                         held = set(z.namelist())
                         at = lambda e, k: (x.get(f"{W}val") if (x := e.find(k)) is not None else None)
+                        number = lambda x: int(x) if x is not None and x.lstrip("-").isdigit() else None
                         if "word/styles.xml" in held:
                             for s in ElementTree.fromstring(z.read("word/styles.xml")).findall(f"{W}style"):
-                                if (n := at(s, f"{W}pPr/{W}numPr/{W}numId")) is not None:
-                                    rows.append((doc, "style", s.get(f"{W}styleId"), int(n), int(at(s, f"{W}pPr/{W}numPr/{W}ilvl") or 0), None))
+                                rows.append((doc, "style", s.get(f"{W}styleId"), number(at(s, f"{W}pPr/{W}numPr/{W}numId")), number(at(s, f"{W}pPr/{W}numPr/{W}ilvl")) or 0, None, None))
                         if "word/numbering.xml" in held:
                             root = ElementTree.fromstring(z.read("word/numbering.xml"))
-                            rows += [(doc, "number", None, int(n.get(f"{W}numId")), int(at(n, f"{W}abstractNumId")), None) for n in root.findall(f"{W}num")]
-                            rows += [(doc, "format", None, int(a.get(f"{W}abstractNumId")), int(v.get(f"{W}ilvl")), at(v, f"{W}numFmt")) for a in root.findall(f"{W}abstractNum") for v in a.findall(f"{W}lvl")]
-                except (zipfile.BadZipFile, ElementTree.ParseError):
+                            rows += [(doc, "number", None, number(n.get(f"{W}numId")), number(at(n, f"{W}abstractNumId")), None, None) for n in root.findall(f"{W}num")]
+                            rows += [(doc, "format", None, number(a.get(f"{W}abstractNumId")), number(v.get(f"{W}ilvl")), at(v, f"{W}numFmt"), at(v, f"{W}lvlText")) for a in root.findall(f"{W}abstractNum") for v in a.findall(f"{W}lvl")]
+                except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError):
                     rows = []
-                yield pd.DataFrame(rows, columns=["doc_id", "what", "style_id", "a", "b", "format"])
+                yield from (r for r in rows if r[3] is not None and r[4] is not None)
+
+    def run(frames):
+        yield from batched(rows_of(frames), ["doc_id", "what", "style_id", "a", "b", "format", "level_text"])
 
-    found = files.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, "doc_id string, what string, style_id string, a int, b int, format string")
+    found = files.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, "doc_id string, what string, style_id string, a int, b int, format string, level_text string")
     styles = found.where("what = 'style'").select("doc_id", "style_id", F.col("a").alias("num_id"), F.col("b").alias("ilvl"))
     numbers = found.where("what = 'number'").select("doc_id", F.col("a").alias("num_id"), F.col("b").alias("abstract_id"))
-    formats = found.where("what = 'format'").select("doc_id", F.col("a").alias("abstract_id"), F.col("b").alias("ilvl"), "format")
+    formats = found.where("what = 'format'").select("doc_id", F.col("a").alias("abstract_id"), F.col("b").alias("ilvl"), "format", "level_text")
     return styles, numbers, formats

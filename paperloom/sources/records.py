@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions import text as tx
 from paperloom.operators import windows as wn
+from paperloom.sources.batches import batched
 
 #: Bytes of a payload at which a text may begin.
 MAX_OFFSET = 32
@@ -66,10 +67,8 @@ def split_records(streams: DataFrame) -> DataFrame:
             idx, at = idx + 1, at + width + size
 
     def run(frames):
-        for frame in frames:
-            for doc, stream, data in frame.itertuples(index=False):
-                rows = [(doc, stream, *r) for r in walk(bytes(data or b""))]
-                yield pd.DataFrame(rows, columns=["doc_id", "stream", "idx", "offset", "tag_id", "level", "size", "header_size", "payload"])
+        rows = ((doc, stream, *r) for frame in frames for doc, stream, data in frame.itertuples(index=False) for r in walk(bytes(data or b"")))
+        yield from batched(rows, ["doc_id", "stream", "idx", "offset", "tag_id", "level", "size", "header_size", "payload"])
 
     return streams.select("doc_id", "stream", "payload").mapInPandas(run, RECORDS)
 
