@@ -1,10 +1,10 @@
-"""The queries of the ten operators, each over its whole table."""
+"""The queries of the thirteen operators, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, licenses, packing, passages, pii, quality, secrets, simhash, suffixes, templates
+from . import archives, copies, divergence, licenses, middle, packing, passages, pii, quality, secrets, simhash, suffixes, templates
 from .common import table
 
 QUERIES = {}
@@ -84,3 +84,27 @@ def op6_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_license_paragraphs"] = op6_license_paragraphs
+
+
+def op11_chunked_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op11_chunked_middle"] = op11_chunked_middle
+ORACLE_SQL["op11_chunked_middle"] = middle.ORACLE_SQL
+
+
+def op12_count_level_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_count_level_divergence"] = op12_count_level_divergence
+ORACLE_SQL["op12_count_level_divergence"] = divergence.ORACLE_SQL
+
+
+def op13_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_quotient_filter_dedup"] = op13_quotient_filter_dedup
+ORACLE_SQL["op13_quotient_filter_dedup"] = copies.ORACLE_SQL
