@@ -10,6 +10,7 @@ Pieces are ranked, placed and offset by Spark.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -27,6 +28,8 @@ END_ID = 0
 CHOICES = ((2, 32), (3, 16), (4, 16), (1, 1))
 # Fixed value: the pre-tokens of a byte-level BPE, in a form without backtracking.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: White-space characters in a row from which on a text isn't left to PATTERN, whose matcher holds a million at most.
+GAP = 100_000
 #: Pieces that are ranked together.
 RANKED = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,16 +40,13 @@ class Encoder:
 
     A byte-level BPE whose ids follow the order of its merges is the same
     function in the tiktoken library, which is several times faster; any other
-    file is left to the tokenizers library. Added tokens' strings in a text
-    become those tokens, as the tokenizers library has it.
+    file is left to the tokenizers library, and so are texts with a very long
+    run of white space, for which that library's pattern has no room. Added
+    tokens' strings in a text become those tokens, as the tokenizers library has it.
     """
 
     def __init__(self, spec: str):
-        self.fast = self.by_ranks(json.loads(spec))
-        if self.fast is None:
-            from tokenizers import Tokenizer
-
-            self.slow = Tokenizer.from_str(spec)
+        self.fast, self.spec, self.slow = self.by_ranks(json.loads(spec)), spec, None
 
     @staticmethod
     def by_ranks(spec: dict):
@@ -71,11 +71,19 @@ class Encoder:
         ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
         return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.fast is not None:
-            return [self.fast.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_str(self.spec)
         return [np.array(e.ids, "<u4").tobytes() for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.fast is None:
+            return self.by_library(texts)
+        one = lambda t: self.fast.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes()
+        return [self.by_library([t])[0] if len(t) >= GAP and re.search(rf"\s{{{GAP}}}", t) else one(t) for t in texts]
+
 
 def tokenizer_spec(path: str | None = None) -> str:
     """The tokenizer file's text; by default of the public byte-level BPE."""
@@ -90,7 +98,8 @@ def tokenizer_spec(path: str | None = None) -> str:
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """One row per piece of each document: its tokens and END_ID, cut only where longer than sequence.
 
-    Whole texts are encoded. A null text counts as empty and has one token.
+    Whole texts are encoded, however long and whatever runs they hold. A null text counts as empty and has one token.
+    Repeated rows are packed repeatedly.
     """
     held = docs.sparkSession.sparkContext.broadcast(spec or tokenizer_spec())
 

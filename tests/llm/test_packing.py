@@ -69,3 +69,15 @@ def test_fast_and_slow_encoders_agree():
     fast = encoder.encode(texts)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert fast == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_millions_of_spaces(spark):
+    """Runs of white space that the fast encoder's pattern has no room for, in the middle and at the end."""
+    encoder = packing.Encoder(packing.tokenizer_spec())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 2_000_000
+    for c in " \t\n\x0b\x0c\r\x85\u3000":
+        texts = ["a" + c * n + "b", "a" + c * n]
+        assert encoder.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts], repr(c)
+    docs = spark.createDataFrame([(1, "a" + " " * n + "b")], "doc_id long, text string")
+    assert packing.pack_documents(docs).selectExpr("sum(length)").first()[0] == len(tokenizer.encode("a" + " " * n + "b", add_special_tokens=False).ids) + 1
