@@ -542,10 +542,12 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labell
     and sentences; repeated rows get the same spans; other columns aren't read.
     """
     rows = labelled_rows() if labelled is None else [(r.words, r.tags) for r in labelled.select("words", "tags").orderBy(F.xxhash64("words")).limit(MAX_LABELLED).collect()]
-    fitted = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    field = fit(rows)
+    # Arrays only: a broadcast object would need this package on the executors.
+    fitted = docs.sparkSession.sparkContext.broadcast((field.shapes, field.weights, field.move))
 
     def run(batches):
-        finder = Finder(fitted.value)
+        finder = Finder(Field(*fitted.value))
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 found = finder.chunk(part.column(1).to_pylist(), data, offsets)

@@ -118,3 +118,24 @@ def test_query_columns(spark):
     assert found[2].spans == "" and found[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert found[None].spans == "name:4:14"
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Run from another folder, where Python workers can't import the package."""
+    import os
+    import subprocess
+    import sys
+
+    script = f"""
+import sys
+sys.path.insert(0, {os.getcwd()!r})
+from pyspark.sql import SparkSession
+from paperloom.llm import pii
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(1, "Mail a.b@c.org now.")], "doc_id long, text string")
+print("found", pii.find_pii(docs).first().spans[0].kind)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    (tmp_path / "run.py").write_text(script)
+    done = subprocess.run([sys.executable, str(tmp_path / "run.py")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found email" in done.stdout, done.stderr[-2000:]
