@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null, empty and short texts fail. Repeated rows stay repeated, however long a text is.
     """
-    found = quality.clean_lines(docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))).where("quality.kept")
+    found = quality.clean_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))).where("quality.kept")
     changed = F.col("quality.cleaned_text") != F.col("row.text")
     n_chars = F.when(changed, F.length("quality.cleaned_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     made = {"text": F.col("quality.cleaned_text"), "n_chars": n_chars}
@@ -34,17 +34,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no item of benchmark; repeated rows stay or go together, null texts stay."""
+    """Documents that leak no item of benchmark; rows with equal texts stay or go together, null texts stay, long ones are read whole."""
     return templates.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by their kinds; null texts stay null."""
+    """All documents, secrets in their texts replaced by their kinds, however long; null texts stay null, repeated rows come out alike."""
     return secrets.redact(docs, n_chars="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, and their places in sequences; null texts are empty, repeated rows packed repeatedly."""
+    """The pieces of all documents, and their places in sequences; null texts are empty, repeated rows packed repeatedly, longer texts than a sequence cut."""
     return packing.pack_documents(docs)
 
 

@@ -69,3 +69,20 @@ def test_failed_lines_leave_the_corpus(spark, tmp_path):
     docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
     want = text.replace("Home | About | News\n", "")
     assert [(r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, docs, "").collect()] == [(want, len(want))]
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    texts, items = corpus()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), i, "x", None) for i, t in enumerate(texts[:6])], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, row string, q string")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        assert name == "best_fit_packing" or found.columns == docs.columns
+        assert found.count() > 0
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        cased = docs.withColumnRenamed("row", "Text").withColumnRenamed("a.b", "DOC_ID")
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, cased, str(tmp_path)).count() > 0, name
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
