@@ -30,6 +30,8 @@ from .common import discard, stored, text_of, with_facts
 LEAST_DOCS, UNITS, PRIOR = 30, 1_000_000_000, 5
 #: Terms of a source that are reported.
 TOP = 50
+#: Shares of a tile that one task holds, about.
+SHARES = 2_000
 #: Terms of a block, about; sources of a tile, about; different terms that a task counts before it hands them on.
 BLOCK, TILE, HELD = 512, 48, 300_000
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -158,14 +160,17 @@ def joint_cells(levels: DataFrame) -> DataFrame:
 def complements(histograms: DataFrame, sources: DataFrame) -> DataFrame:
     """What is left of each pair's sum: the terms of one side against a lacking one, and those that both lack.
 
-    histograms: lang, source, p, size, tile, tiles; sources: lang, source, z, v, had, tile, tiles, had being the terms that it has.
+    histograms: lang, source, p, size, tile, tiles, parts; sources: lang, source, z, v, had, tile, tiles, parts, had being
+    the terms that it has. The shares of a pair of tiles are dealt out to parts, each of which has all the sources.
     """
     none = F.lit(None).cast("long")
-    rows = histograms.select("lang", "source", "p", "size", none.alias("z"), none.alias("v"), none.alias("had"), "tile", "tiles")
-    rows = rows.unionByName(sources.select("lang", "source", none.alias("p"), none.alias("size"), "z", "v", "had", "tile", "tiles"))
+    part = F.pmod(F.xxhash64("source", "p"), "parts").cast("int").alias("part")
+    rows = histograms.select("lang", "source", "p", "size", none.alias("z"), none.alias("v"), none.alias("had"), "tile", "tiles", part)
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    rows = rows.unionByName(sources.select("lang", "source", none.alias("p"), none.alias("size"), "z", "v", "had", "tile", "tiles", parts))
 
     def run(key, rows):
-        lang, ta, tb = (k.as_py() for k in key)
+        lang, ta, tb, part = (k.as_py() for k in key)
         told = rows.filter(pc.is_null(rows.column("size"))).sort_by("source")
         names = told.column("source").to_pylist()
         z, v, had, tile = (told.column(c).to_numpy() for c in ("z", "v", "had", "tile"))
@@ -176,9 +181,9 @@ def complements(histograms: DataFrame, sources: DataFrame) -> DataFrame:
         edge = np.searchsorted(place[order], np.arange(len(names) + 1))
         p, size = (own.column(c).to_numpy()[order] for c in ("p", "size"))
         against = lambda i, j: int((size[edge[i] : edge[i + 1]] * np.abs(p[edge[i] : edge[i + 1]] - z[j])).sum())
-        return as_pairs(lang, [(names[i], names[j], against(i, j) + against(j, i) + int((v[i] - had[i] - had[j]) * abs(z[i] - z[j]))) for i, j in pairs_of(names, tile, ta, tb)])
+        return as_pairs(lang, [(names[i], names[j], against(i, j) + against(j, i) + (0 if part else int((v[i] - had[i] - had[j]) * abs(z[i] - z[j])))) for i, j in pairs_of(names, tile, ta, tb)])
 
-    return tiled(rows).groupBy("lang", "ta", "tb").applyInArrow(run, PAIRS)
+    return tiled(rows).groupBy("lang", "ta", "tb", "part").applyInArrow(run, PAIRS)
 
 
 def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", top: int = TOP) -> DataFrame:
@@ -200,14 +205,17 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     groups = counted.groupBy("lang", "source").agg(F.lit(0).alias("_"))
     langs = groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).join(terms.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left")
     totals = levels.groupBy("lang", "source").agg(F.sum(F.col("count") * F.col("size")).alias("total"), F.sum("size").alias("had"), F.count("*").alias("n_levels"))
+    # Two tiles have so many shares at most, on average.
+    parts = (F.floor(F.sum("n_levels") * 2 / (F.max("tiles") * SHARES)) + 1).cast("int")
+    langs = langs.join(totals.join(langs, "lang").groupBy("lang").agg(parts.alias("parts")), "lang", "left").na.fill(1, ["parts"])
     facts = groups.join(totals, ["lang", "source"], "left").join(langs, "lang").na.fill(0, ["total", "had", "n_levels", "v"])
     facts = facts.withColumn("z", F.coalesce(share("0", "total", "v"), F.lit(0).cast("long"))).withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int"))
-    facts = stored(facts.select("lang", "source", "total", "had", "n_levels", "v", "z", "tile", "tiles"), "facts")
+    facts = stored(facts.select("lang", "source", "total", "had", "n_levels", "v", "z", "tile", "tiles", "parts"), "facts")
     p = share("count", "total", "v")
-    known = facts.select("lang", "source", "total", "v", "z", "tile", "tiles", F.col("n_levels").alias("n"))
+    known = facts.select("lang", "source", "total", "v", "z", "tile", "tiles", "parts", F.col("n_levels").alias("n"))
     shared = with_facts(levels, known, ["lang", "source"], "bits").withColumn("p", p).drop("total", "v")
     shared = stored(shared, "shared")
-    histograms = shared.groupBy("lang", "source", "p", "tile", "tiles").agg(F.sum("size").alias("size"))
+    histograms = shared.groupBy("lang", "source", "p", "tile", "tiles", "parts").agg(F.sum("size").alias("size"))
     both = joint_cells(shared).unionByName(complements(histograms, facts)).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = both.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("e"), "value").select("lang", "e.*", "value")
     above = with_facts(had, facts.select("lang", "source", "total", "v", F.col("had").alias("n")), ["lang", "source"], "term").withColumn("value", p - F.col("q"))

@@ -68,6 +68,7 @@ def test_several_tiles_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(divergence, "TILE", 3)
     monkeypatch.setattr(divergence, "BLOCK", 20)
     monkeypatch.setattr(divergence, "HELD", 50)
+    monkeypatch.setattr(divergence, "SHARES", 20)
     data = rows(14)
     assert found(spark, data) == plain(data)
 
