@@ -7,10 +7,11 @@ ordinals, are document order. Templates are joined by ordinal and type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
+from paperloom.operators import edits as ed
 from paperloom.operators import lookups as lk
 from paperloom.operators import windows as wn
 
@@ -92,24 +93,27 @@ def nodes(docs: DataFrame) -> DataFrame:
 def blocks_of_nodes(tree: DataFrame, original: DataFrame | None = None, by_position: bool = False) -> DataFrame:
     """Body blocks (doc_id, ord, block) of a tree, with what only the original's blocks know.
 
-    original: blocks() of the document before the edits. The n-th paragraph,
+    original: blocks() of the document before the edits. Blocks count anew in document order. The n-th paragraph,
     table and image take over from the n-th of their type. A cell's grid column
     comes from the spans before and above it; with by_position it is its place in the row.
     """
-    top = tree.where(F.size("path") == 1).select("doc_id", F.col("path")[0].alias("ord"), "type", "align", "list", "level", "src", "width", "height", "alt")
-    text = tree.where((F.col("type") == "text") & (F.size("path") == 2)).groupBy("doc_id", F.col("path")[0].alias("ord")).agg(F.array_sort(F.collect_list(F.struct(F.col("path")[1].alias("k"), "text", "bold", "size"))).alias("runs"))
-    said = tree.where((F.col("type") == "text") & (F.size("path") == 5)).groupBy("doc_id", F.slice("path", 1, 3).alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda s: s["text"]), "").alias("said"))
-    cells = tree.where("type = 'tableCell'").select("doc_id", "path", F.coalesce("colspan", F.lit(1)).alias("colspan"), F.coalesce("rowspan", F.lit(1)).alias("rowspan")).join(said, ["doc_id", "path"], "left")
-    cells = cells.select("doc_id", F.col("path")[0].alias("ord"), F.col("path")[1].alias("row"), F.col("path")[2].alias("k"), "colspan", "rowspan", F.coalesce("said", F.lit("")).alias("text"))
+    tree = tree.withColumns({"at": ed.block_path(), "in": ed.inner_path()})
+    depth = F.size("in")
+    top = tree.where(F.col("type").isin(*KINDS) & (depth == 0)).select("doc_id", "at", "type", "align", "list", "level", "src", "width", "height", "alt")
+    text = tree.where((F.col("type") == "text") & (depth == 1)).groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(F.struct(F.col("in")[0].alias("k"), "text", "bold", "size"))).alias("runs"))
+    said = tree.where((F.col("type") == "text") & (depth == 4)).groupBy("doc_id", "at", F.slice("in", 1, 2).alias("in")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda s: s["text"]), "").alias("said"))
+    cells = tree.where("type = 'tableCell'").select("doc_id", "at", "in", F.coalesce("colspan", F.lit(1)).alias("colspan"), F.coalesce("rowspan", F.lit(1)).alias("rowspan")).join(said, ["doc_id", "at", "in"], "left")
+    cells = cells.select("doc_id", "at", F.col("in")[0].alias("row"), F.col("in")[1].alias("k"), "colspan", "rowspan", F.coalesce("said", F.lit("")).alias("text"))
     if by_position:
         cells = cells.withColumn("column", F.col("k"))
     else:
         cell = F.struct("row", "k", F.col("colspan").cast("long").alias("colspan"), F.col("rowspan").cast("long").alias("rowspan"), "text")
-        cells = cells.groupBy("doc_id", "ord").agg(F.collect_list(cell).alias("cells")).select("doc_id", "ord", F.inline(wn.free_columns("cells"))).select("doc_id", "ord", "column", "c.*")
+        cells = cells.groupBy("doc_id", "at").agg(F.collect_list(cell).alias("cells")).select("doc_id", "at", F.inline(wn.free_columns("cells"))).select("doc_id", "at", "column", "c.*")
     cell = F.struct("k", F.struct(F.col("text"), F.col("row").cast("int").alias("row_index"), F.col("column").cast("int").alias("column_index"), F.col("colspan").cast("int").alias("colspan"), F.col("rowspan").cast("int").alias("rowspan"), F.lit(None).cast("int").alias("source_record_index"), F.lit(None).cast("string").alias("raw")).alias("c"))
-    rows = cells.groupBy("doc_id", "ord", "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.sum("colspan").alias("width"))
-    rows = rows.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("row", F.transform("cells", lambda s: s["c"]).alias("cells")))).alias("rows"), F.max("width").alias("columns"))
-    df = top.join(text, ["doc_id", "ord"], "left").join(rows, ["doc_id", "ord"], "left")
+    rows = cells.groupBy("doc_id", "at", "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.sum("colspan").alias("width"))
+    rows = rows.groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(F.struct("row", F.transform("cells", lambda s: s["c"]).alias("cells")))).alias("rows"), F.max("width").alias("columns"))
+    df = top.join(text, ["doc_id", "at"], "left").join(rows, ["doc_id", "at"], "left")
+    df = df.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).drop("at")
     if original is None:
         df = df.withColumn("template_block", F.lit(None).cast(BLOCK))
     else:

@@ -447,6 +447,48 @@ def tree_round_trip(spark, sf_dir):
     return back.select("doc_id", F.col("ord").cast("long").alias("ord"), para.alias("is_paragraph"), F.get(block["text_runs"], 0)["character_style"]["bold"].alias("bold"), text.alias("text")).where("text <> ''")
 
 
+_EDITED = """WITH t AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS rn, role = 'system' AS cell FROM conversations),
+a AS (SELECT *, text <> '' OR rn % 2 = 0 AS kid, CASE WHEN rn % 6 = 0 THEN 'again' WHEN rn % 2 = 0 THEN 'edited ' || rn ELSE text END AS told,
+  CASE WHEN rn % 6 = 0 THEN false ELSE (text <> '' AND role = 'user') <> (rn % 3 = 0) END AS marked, CASE WHEN rn % 7 = 3 THEN 14.0 WHEN rn % 6 <> 0 AND text <> '' THEN turn END AS pt FROM t),
+b AS (SELECT conv_id, rn, 0 AS behind, CASE WHEN cell THEN 'table' ELSE 'paragraph' END AS block_type, told AS text, CASE WHEN kid AND NOT cell THEN marked END AS bold, CASE WHEN kid AND NOT cell THEN CAST(pt AS DOUBLE) END AS size FROM a WHERE cell OR rn % 5 <> 4
+  UNION ALL SELECT conv_id, rn, 1, 'paragraph', 'new', true, NULL FROM a WHERE NOT cell AND rn % 4 = 1)
+"""
+
+
+def _edit_log(spark, sf_dir) -> DataFrame:
+    """Edits of the n-th paragraph of each conversation, in cells too: texts, marks, insertions and deletions."""
+    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    turn = table(spark, sf_dir, "conversations").select("conv_id", rn.alias("rn"))
+    rn, own, new = F.col("rn"), F.concat(F.lit("p"), "rn"), F.concat(F.lit("n"), "rn")
+    told = F.concat(F.lit("edited "), "rn")
+    steps = [(rn % 2 == 0, "text", own, told), (rn % 3 == 0, "bold", own, None), (rn % 6 == 0, "text", own, ""), (rn % 6 == 0, "text", own, "again"), (rn % 4 == 1, "insert", own, new), (rn % 4 == 1, "text", new, "new"), (rn % 4 == 1, "bold", new, None), (rn % 5 == 4, "delete", own, None), (rn % 7 == 3, "size", own, "14")]
+    edit = lambda k, when, op, node, value: F.when(when, F.struct((rn * 10 + k).cast("long").alias("seq"), F.lit(op).alias("op"), node.alias("node_id"), (value if value is told or value is new else F.lit(value)).cast("string").alias("value")))
+    log = F.array_compact(F.array(*[edit(k, *step) for k, step in enumerate(steps)]))
+    return turn.select(F.col("conv_id").alias("doc_id"), F.inline(log))
+
+
+@query(_EDITED + "SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY rn, behind) - 1 AS ord, block_type, text, bold, size FROM b")
+def edited_documents(spark, sf_dir):
+    """E1 to E7 on trees, R3: documents to nodes, a log of edits applied, and back to blocks."""
+    docs = _documents(spark, sf_dir)
+    tree = ed.apply_edits(et.nodes(docs), _edit_log(spark, sf_dir))
+    back = et.blocks_of_nodes(tree, et.blocks(docs))
+    block = F.col("block")
+    style = F.get(block["text_runs"], 0)["character_style"]
+    text = F.when(block["block_type"] == "paragraph", block["text"]).otherwise(F.get(F.get(block["rows"], 0)["cells"], 0)["text"])
+    return back.select("doc_id", F.col("ord").cast("long").alias("ord"), block["block_type"].alias("block_type"), text.alias("text"), style["bold"].alias("bold"), style["font_size_pt"].alias("size"))
+
+
+@query(_EDITED + """SELECT conv_id AS doc_id, CASE behind WHEN 0 THEN 'p' ELSE 'n' END || rn AS node_id, coalesce(text, '') AS text, coalesce(bold, false) AS bold, size, 'left' AS align,
+  row_number() OVER (PARTITION BY conv_id ORDER BY rn, behind) = 1 AS selected FROM b WHERE block_type = 'paragraph'""")
+def edited_paragraphs(spark, sf_dir):
+    """What an editor asks of each paragraph at the top after the edits, and which one is selected after a deletion."""
+    tree = ed.apply_edits(et.nodes(_documents(spark, sf_dir)), _edit_log(spark, sf_dir))
+    first = ed.first_paragraphs(tree).withColumn("selected", F.lit(True))
+    found = ed.paragraphs(tree).join(first, ["doc_id", "node_id"], "left")
+    return found.select("doc_id", "node_id", "text", "bold", "size", "align", F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
 @query("SELECT conv_id AS doc_id, CAST(count(*) AS BIGINT) AS n_blocks, CAST(count_if(CASE WHEN role = 'system' THEN text <> '' ELSE text <> '' AND turn % 2 <> 0 END) AS BIGINT) AS n_visible FROM conversations GROUP BY conv_id")
 def visible_blocks(spark, sf_dir):
     """K4, A1: blocks that show something."""
