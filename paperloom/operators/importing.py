@@ -16,6 +16,7 @@ from paperloom.operators import lookups as lk
 from paperloom.operators import windows as wn
 from paperloom.operators.editor import BLOCK, RUN
 from paperloom.sources import records as rc
+from paperloom.sources.work import stored
 
 BY = bl.BY
 #: Bytes of a file header at least, and those of a whole one.
@@ -24,15 +25,15 @@ HEADER_WHOLE = 256
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder where the session has one, as what follows reads it several times."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """df, computed once and kept as a work table, as what follows reads it several times."""
+    return stored(df)
 
 
 def opened(streams: DataFrame) -> DataFrame:
     """(doc_id, stream, payload, warning, error) of DocInfo and body streams (doc_id, path, payload), inflated where the file's header says so.
 
     A file without a header, or with one of under 40 bytes, gives one row with an error;
-    a header of under 256 bytes is a warning. Damaged deflate data fails the query.
+    a header of under 256 bytes is a warning. A stream of damaged deflate data has an error and no payload.
     """
     head = streams.where("path = 'FileHeader'").groupBy("doc_id").agg(F.first("payload").alias("head"))
     size = F.coalesce(F.octet_length("head"), F.lit(0))
@@ -41,8 +42,22 @@ def opened(streams: DataFrame) -> DataFrame:
     good = df.where(size >= HEADER_LEAST).withColumn("packed", bn.file_header(F.col("head"))["is_compressed"])
     warning = F.when(size < HEADER_WHOLE, "file header under 256 bytes").alias("warning")
     # A Python function runs for all rows, so those that aren't packed give it null.
-    payload = F.coalesce(rc.inflate(F.when(F.col("packed"), F.col("payload"))), "payload").alias("payload")
-    return good.select("doc_id", F.col("path").alias("stream"), payload, warning).unionByName(bad, allowMissingColumns=True)
+    good = good.withColumn("opened", rc.opened(F.when(F.col("packed"), F.col("payload"))))
+    payload = F.when(F.col("packed"), F.col("opened.data")).otherwise(F.col("payload")).alias("payload")
+    return good.select("doc_id", F.col("path").alias("stream"), payload, warning, F.col("opened.error").alias("error")).unionByName(bad, allowMissingColumns=True)
+
+
+def import_errors(streams: DataFrame) -> DataFrame:
+    """(doc_id, stream, error) of what opened() can't open; import_documents leaves these files out and imports the others."""
+    return opened(streams).where("error is not null").select("doc_id", "stream", "error")
+
+
+def embedded_images(streams: DataFrame) -> DataFrame:
+    """(doc_id, path, data) of the binary streams that are images as they are or, if not, once inflated."""
+    found = streams.where("path like 'BinData/%'")
+    plain = bn.is_image(F.col("payload"))
+    found = found.withColumn("data", F.when(plain, F.col("payload")).otherwise(rc.try_inflate(F.when(~plain, F.col("payload")))))
+    return found.where(bn.is_image(F.col("data"))).select("doc_id", "path", "data")
 
 
 def paragraph_styles(records: DataFrame, docinfo: DataFrame, by: list[str]) -> DataFrame:
@@ -113,9 +128,10 @@ def as_block(**known):
 def import_documents(streams: DataFrame) -> DataFrame:
     """Documents (doc_id, source_path, header, footer, blocks), as editor reads them, of streams (doc_id, path, payload) of compound files.
 
-    Files whose header is missing or short are left out; opened() tells which.
+    Files with a missing or short header or a damaged stream are left out; import_errors() tells which.
     """
-    ready = opened(streams).where("error is null")
+    told = cut(opened(streams))
+    ready = told.where("error is null").join(told.where("error is not null").select("doc_id").distinct(), "doc_id", "left_anti")
     records = cut(rc.split_records(ready))
     docinfo, body = records.where("stream = 'DocInfo'"), records.where("stream <> 'DocInfo'")
     told = cut(rc.record_texts(body))

@@ -21,6 +21,7 @@ from paperloom.operators import windows as wn
 from paperloom.sources import containers as ct
 from paperloom.sources import docx_writer as dw
 from paperloom.sources import records as rc
+from paperloom.streaming import drafts as dr
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -406,9 +407,8 @@ def docx_round_trip(spark, sf_dir):
     return ct.docx_blocks(files).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("pos"), "text", F.col("runs")[0]["bold"].alias("bold"))
 
 
-@query(f"SELECT doc_id, CAST(3 * pos + 1 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS level, line AS said, CAST(octet_length(encode(line)) > 2000 AS BOOLEAN) AND length(line) * 2 >= 4095 AS long_header FROM ({_LINE_ROWS})")
-def record_round_trip(spark, sf_dir):
-    """Lines packed as tagged records of a stream for each document, split again and decoded."""
+def _packed_lines(spark, sf_dir) -> DataFrame:
+    """(doc_id, payload): the lines of each document packed as tagged records."""
     bytes_le = lambda n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, k).bitwiseAND(F.lit(255))), 2, "0") for k in (0, 8, 16, 24)]))
     said = F.encode("line", "UTF-16LE")
     size = F.octet_length(said).cast("long")
@@ -416,12 +416,40 @@ def record_round_trip(spark, sf_dir):
     zero = F.lit(0).cast("long")
     text = F.concat(head(67, 1, size), F.when(size >= 4095, bytes_le(size)).otherwise(F.unhex(F.lit(""))), said)
     packed = lines(spark, sf_dir).select("doc_id", "pos", F.hex(F.concat(head(66, 0, zero), text, head(68, 1, zero))).alias("h"))
-    streams = packed.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "")).alias("payload"))
+    return packed.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "")).alias("payload"))
+
+
+@query(f"SELECT doc_id, CAST(3 * pos + 1 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS level, line AS said, CAST(octet_length(encode(line)) > 2000 AS BOOLEAN) AND length(line) * 2 >= 4095 AS long_header FROM ({_LINE_ROWS})")
+def record_round_trip(spark, sf_dir):
+    """Lines packed as tagged records of a stream for each document, split again and decoded."""
+    streams = _packed_lines(spark, sf_dir)
     records = rc.split_records(streams.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("BodyText/Section0").alias("stream"), "payload"))
     told = records.where("tag_id = 67").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), F.col("level").cast("long").alias("level"), rc.direct_text("payload").alias("said"), (F.col("header_size") == 8).alias("long_header"))
     return told
 
 
+@query(f"SELECT doc_id, CAST(3 * pos + 1 AS INTEGER) AS idx, 1 AS level, line AS said FROM ({_LINE_ROWS})")
+def sql_records(spark, sf_dir):
+    """Records as a table function of SQL, asked for one tag."""
+    rc.register_records(spark)
+    return spark.sql("SELECT doc_id, idx, level, decode(r.payload, 'UTF-16LE') AS said FROM {streams} s, LATERAL stream_records(s.payload, 67) r", streams=_packed_lines(spark, sf_dir))
+
+
+_DRAFTS = """WITH d AS (SELECT 'paperloom.draft.v1:' || event_type || ':user%20' || user_id AS key, ts AS saved_at, sha256(coalesce(props, '')) AS digest, event_id FROM events)
+"""
+
+
+@query(_DRAFTS + """, s AS (SELECT *, lag(digest) OVER (PARTITION BY key ORDER BY saved_at, digest) AS before FROM d)
+SELECT key, CAST(max(saved_at) AS TIMESTAMP) AS saved_at, arg_max(digest, (saved_at, digest)) AS digest, CAST(count_if(digest IS DISTINCT FROM before) AS BIGINT) AS n_saved, count(*) AS n_drafts FROM s GROUP BY key""")
+def saved_drafts(spark, sf_dir):
+    """The draft that holds for each key, and how many of its drafts a dirty check lets through."""
+    events = table(spark, sf_dir, "events")
+    label = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    told = dr.with_digest(events.select(dr.draft_key("event_type", label).alias("key"), F.col("ts").alias("saved_at"), F.col("props").alias("document")))
+    saved = dr.changes(told).groupBy("key").agg(F.count("*").alias("n_saved"))
+    return dr.latest(told).join(saved, "key").join(told.groupBy("key").agg(F.count("*").alias("n_drafts")), "key").select("key", "saved_at", "digest", "n_saved", "n_drafts")
+
+
 def _documents(spark, sf_dir) -> DataFrame:
     """Conversations as documents: user and assistant turns are paragraphs, system turns tables of one cell."""
     turn = table(spark, sf_dir, "conversations")

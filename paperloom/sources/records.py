@@ -10,7 +10,7 @@ import struct
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +24,17 @@ CANDIDATES = T.ArrayType(T.StructType([T.StructField("encoding", T.StringType())
 RECORDS = "doc_id string, stream string, idx int, offset long, tag_id int, level int, size long, header_size int, payload binary"
 
 
-@F.pandas_udf(T.BinaryType())
-def inflate(data: pd.Series) -> pd.Series:
-    """Raw deflate; damaged data is an error."""
-    return data.map(lambda x: None if x is None else zlib.decompress(x, -15))
+@F.pandas_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())]))
+def opened(data: pd.Series) -> pd.DataFrame:
+    """Raw deflate as data, or what is wrong with it as error; null is neither."""
+
+    def one(x):
+        try:
+            return (None if x is None else zlib.decompress(x, -15)), None
+        except zlib.error as e:
+            return None, str(e)
+
+    return pd.DataFrame([one(x) for x in data], columns=["data", "error"], dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -43,6 +50,23 @@ def try_inflate(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
+def walk(data: bytes):
+    """(idx, offset, tag, level, size, header_size, payload) of each record that is whole."""
+    at = idx = 0
+    while at + 4 <= len(data):
+        (head,) = struct.unpack_from("<I", data, at)
+        size, width = head >> 20, 4
+        if size == 0xFFF:
+            if at + 8 > len(data):
+                return
+            (size,) = struct.unpack_from("<I", data, at + 4)
+            width = 8
+        if at + width + size > len(data):
+            return
+        yield idx, at, head & 1023, head >> 10 & 1023, size, width, data[at + width : at + width + size]
+        idx, at = idx + 1, at + width + size
+
+
 def split_records(streams: DataFrame) -> DataFrame:
     """Records of streams (doc_id, stream, payload), which are decoded.
 
@@ -51,21 +75,6 @@ def split_records(streams: DataFrame) -> DataFrame:
     the records before stay.
     """
 
-    def walk(data: bytes):
-        at = idx = 0
-        while at + 4 <= len(data):
-            (head,) = struct.unpack_from("<I", data, at)
-            size, width = head >> 20, 4
-            if size == 0xFFF:
-                if at + 8 > len(data):
-                    return
-                (size,) = struct.unpack_from("<I", data, at + 4)
-                width = 8
-            if at + width + size > len(data):
-                return
-            yield idx, at, head & 1023, head >> 10 & 1023, size, width, data[at + width : at + width + size]
-            idx, at = idx + 1, at + width + size
-
     def run(frames):
         rows = ((doc, stream, *r) for frame in frames for doc, stream, data in frame.itertuples(index=False) for r in walk(bytes(data or b"")))
         yield from batched(rows, ["doc_id", "stream", "idx", "offset", "tag_id", "level", "size", "header_size", "payload"])
@@ -73,6 +82,37 @@ def split_records(streams: DataFrame) -> DataFrame:
     return streams.select("doc_id", "stream", "payload").mapInPandas(run, RECORDS)
 
 
+class StreamRecords:
+    """The table function that register_records registers: the records of a payload, of one tag if it is given.
+
+    Its analysis checks the arguments before a query runs. Records are handed on
+    one by one, so a stream of any number of records needs memory for itself alone.
+    Spark runs table functions of Arrow batches nowhere in lateral joins, so this takes rows.
+    """
+
+    @staticmethod
+    def analyze(payload, tag=None):
+        from pyspark.sql.udtf import AnalyzeResult
+
+        if payload.dataType != T.BinaryType():
+            raise ValueError(f"stream_records needs a binary payload, not {payload.dataType.simpleString()}")
+        if tag is not None and not isinstance(tag.dataType, (T.IntegralType, T.NullType)):
+            raise ValueError(f"stream_records needs a whole number as tag, not {tag.dataType.simpleString()}")
+        number, long = T.IntegerType(), T.LongType()
+        fields = (("idx", number), ("offset", long), ("tag_id", number), ("level", number), ("size", long), ("header_size", number), ("payload", T.BinaryType()))
+        return AnalyzeResult(T.StructType([T.StructField(*f) for f in fields]))
+
+    def eval(self, payload, tag=None):
+        for r in walk(bytes(payload or b"")):
+            if tag is None or r[2] == tag:
+                yield r
+
+
+def register_records(spark: SparkSession, name: str = "stream_records") -> None:
+    """Makes a table function of SQL: SELECT ... FROM streams, LATERAL stream_records(payload [, tag])."""
+    spark.udtf.register(name, F.udtf(StreamRecords))
+
+
 @F.pandas_udf(CANDIDATES)
 def decodings(payload: pd.Series) -> pd.Series:
     """Each reading of a payload as UTF-16, UTF-8 or CP949 from each offset."""

@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import binary as bn
@@ -89,3 +90,27 @@ def test_styles(spark):
     assert (joined.para_ref, joined.char_ref, joined.alignment) == (1, 9, "left")
     missing = lookups.style_lookup(refs.withColumn("style_ref", F.col("char_ref")), char, ["doc_id", "style_ref"]).first()
     assert (missing.char_ref, missing.bold) == (9, None)
+
+
+def test_records_as_a_table_function(spark):
+    """Rows stay beside their records, whatever the number; bad arguments fail in analysis."""
+    many = b"".join(record(66 + k % 3, k % 4, b"x" * (k % 50)) for k in range(5000))
+    streams = spark.createDataFrame([("a", bytearray(many)), ("b", bytearray()), ("c", None), ("d", bytearray(record(67, 1, b"yy") + b"cut"))], "doc_id string, payload binary")
+    rc.register_records(spark)
+    found = spark.sql("SELECT doc_id, r.* FROM {s} s, LATERAL stream_records(s.payload) r", s=streams)
+    want = rc.split_records(streams.selectExpr("doc_id", "'s' AS stream", "payload")).drop("stream")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 5001
+    assert spark.sql("SELECT doc_id, count(*) FROM {s} s, LATERAL stream_records(s.payload, 67) r GROUP BY 1 ORDER BY 1", s=streams).collect() == [("a", 1667), ("d", 1)]
+    with pytest.raises(Exception, match="binary payload"):
+        spark.sql("SELECT * FROM stream_records('text')").collect()
+
+
+def test_a_table_function_hands_records_on_one_by_one():
+    """The first record of a large stream comes before the others are made."""
+    import tracemalloc
+
+    stream = b"".join(record(66, 0, bytes(1 << 20)) for _ in range(40))
+    tracemalloc.start()
+    n = sum(1 for _ in rc.StreamRecords().eval(stream))
+    assert n == 40 and tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()

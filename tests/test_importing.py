@@ -75,6 +75,17 @@ def test_headers_of_files(spark):
     assert importing.import_documents(spark.createDataFrame([], "doc_id string, path string, payload binary")).count() == 0
 
 
+def test_damaged_streams_fail_one_file(spark):
+    packed = lambda x: zlib.compress(x)[2:-4]
+    good = [(d, p, x if p == "FileHeader" else packed(x)) for d, p, x in file("good", False, bytes(36) + b"\x01" + bytes(219))]
+    bad = [("bad", p, x if p == "FileHeader" else b"\xff\xfe damaged") for _, p, x in good]
+    image = [("good", "BinData/a.png", b"\x89PNG\r\n\x1a\n raw"), ("good", "BinData/b.png", packed(b"\x89PNG\r\n\x1a\n packed")), ("good", "BinData/c.ole", b"nothing")]
+    streams = spark.createDataFrame([(d, p, bytearray(x)) for d, p, x in good + bad + image], "doc_id string, path string, payload binary")
+    assert {(r.doc_id, r.stream) for r in importing.import_errors(streams).collect()} == {("bad", p) for _, p, _ in bad if p in ("DocInfo", "BodyText/Section0")}
+    assert [r.doc_id for r in importing.import_documents(streams).collect()] == ["good"]
+    assert {r.path: bytes(r.data[8:]) for r in importing.embedded_images(streams).collect()} == {"BinData/a.png": b" raw", "BinData/b.png": b" packed"}
+
+
 def test_dump_summary(spark):
     rows = [("d", "b", bytearray(b"xy")), ("d", "A", bytearray())]
     found = importing.dump_summary(spark.createDataFrame(rows, "doc_id string, path string, payload binary")).first().json
