@@ -170,7 +170,8 @@ def edit_tree(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """A tree of editor.nodes after all edits, each in its turn by seq.
 
     text reaches paragraphs anywhere, cells too: their children become one with
-    the marks of the first, none if the text is empty. bold clears a paragraph
+    the marks of the first, none if the text is empty; of a text node it sets that
+    node's text before any edits of its paragraph. bold clears a paragraph
     whose children are all bold and else makes them bold; size sets the size of
     each child; these and align, list (level 0), insert and delete go to paragraphs
     at the top only, src and alt to images. insert makes a paragraph with an
@@ -189,13 +190,14 @@ def edit_tree(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     gone = moved.where("place = 0").join(nodes.select("doc_id", "node_id", F.col("path").alias("block")), ["doc_id", "node_id"]).select("doc_id", "block")
     left = nodes.withColumn("block", block_path()).join(gone, ["doc_id", "block"], "left_anti").drop("block")
     left = stored(left.unionByName(made, allowMissingColumns=True).unionByName(child, allowMissingColumns=True), "left")
-    aims = left.where(F.col("type").isin("paragraph", "image")).select("doc_id", "node_id", "path", "type", (F.size(inner_path()) == 0).alias("top"), "born")
+    aims = left.where(F.col("type").isin("paragraph", "image", "text") & F.col("node_id").isNotNull()).select("doc_id", "node_id", "path", "type", (F.size(inner_path()) == 0).alias("top"), "born")
     paragraph = F.col("type") == "paragraph"
-    reaches = F.when(F.col("op") == "text", paragraph).when(F.col("op").isin("bold", "size", "align", "list"), paragraph & F.col("top")).when(F.col("op").isin("src", "alt"), ~paragraph)
+    reaches = F.when(F.col("op") == "text", F.col("type") != "image").when(F.col("op").isin("bold", "size", "align", "list"), paragraph & F.col("top")).when(F.col("op").isin("src", "alt"), F.col("type") == "image")
     log = edits.join(aims, ["doc_id", "node_id"]).where(reaches & (F.col("born").isNull() | (F.col("seq") > F.col("born"))))
     done = stored(folded(log, ["doc_id", "node_id"]), "done")
     edited = aims.where(paragraph).select("doc_id", "node_id", "path").join(done.select("doc_id", "node_id", "did"), ["doc_id", "node_id"])
-    texts = left.where("type = 'text'")
+    own = done.select("doc_id", "node_id", F.when(F.col("did.told"), F.col("did.text")).when(F.col("did.emptied"), "").alias("_text"))
+    texts = left.where("type = 'text'").join(own, ["doc_id", "node_id"], "left").withColumn("text", F.coalesce("_text", "text")).select(*left.columns)
     same = texts.withColumn("of", F.slice("path", 1, F.size("path") - 1)).join(edited.select("doc_id", F.col("path").alias("of")), ["doc_id", "of"], "left_anti").drop("of")
     told = edited_children(edited.drop("node_id"), texts)
     others = left.where("type <> 'text'").join(done.drop("did").withColumnsRenamed({k: f"_{k}" for k in ("align", "list", "src", "alt")}), ["doc_id", "node_id"], "left")
