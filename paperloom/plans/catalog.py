@@ -7,6 +7,10 @@ conversation are paragraphs, lines of an order are records or cells.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,9 @@ from paperloom.operators import lookups as lk
 from paperloom.operators import windows as wn
 from paperloom.sources import containers as ct
 from paperloom.sources import docx_writer as dw
+from paperloom.sources import office as of
 from paperloom.sources import records as rc
+from paperloom.sources.work import new_folder
 from paperloom.streaming import drafts as dr
 
 QUERIES = {}
@@ -643,3 +649,26 @@ def record_reports(spark, sf_dir):
     n = F.col("l_linenumber").cast("long")
     records = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("BodyText/Section0").alias("stream"), n.alias("idx"), (54 * n - 54).alias("offset"), (F.col("l_suppkey") % 99).alias("tag_id"), (F.col("l_partkey") % 5).alias("level"), F.lit(50).cast("long").alias("size"), F.lit(4).alias("header_size"), F.encode(F.repeat("l_returnflag", F.lit(50)), "UTF-8").alias("payload"))
     return cv.record_report(records)
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS doc, 'BodyText/Section0' AS path, 'Contents/section0.xml' AS source_path, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS sha256, CAST(NULL AS VARCHAR) AS error FROM pages""")
+def office_streams(spark, sf_dir):
+    """Pages as zipped files in a folder each, written by the sink; of these the source reads the one stream asked for."""
+    of.register(spark)
+
+    def packed(frames):
+        for frame in frames:
+            rows = []
+            for page, html in frame.itertuples(index=False):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("Contents/section0.xml", html or "")
+                    z.writestr("Contents/header.xml", str(page))
+                rows.append((str(page), f"{page}.hwpx", out.getvalue()))
+            yield pd.DataFrame(rows, columns=["doc_id", "name", "content"])
+
+    files = table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(packed, "doc_id string, name string, content binary")
+    folder = new_folder(spark)
+    files.write.format("office_files").mode("append").save(folder)
+    found = spark.read.format("office_streams").load(folder).where("path = 'BodyText/Section0'")
+    return found.select(F.regexp_extract("doc_id", "^([0-9]+)_", 1).alias("doc"), "path", "source_path", "size", F.sha2("payload", 256).alias("sha256"), "error")

@@ -7,6 +7,7 @@ behind it is DataFrame code.
 
 from __future__ import annotations
 
+import functools
 import io
 import struct
 import zipfile
@@ -50,16 +51,20 @@ def rejects(files: DataFrame) -> DataFrame:
     return files.where("kind is null").select("doc_id", "path", F.lit("unsupported file").alias("reason"))
 
 
-def ole_streams(data: bytes):
-    """(path, bytes) of the streams of a compound file: sector chains, the small streams' own chain, and a tree of names."""
-    if data[:8].hex().upper() != OLE_MAGIC:
+def ole_entries(read_at):
+    """(path, size, function that reads the bytes) of the streams of a compound file, of which read_at(start, n) gives bytes.
+
+    Sector chains, the small streams' own chain, and a tree of names. Only the tables are read until a stream is asked for.
+    """
+    head = read_at(0, 512)
+    if head[:8].hex().upper() != OLE_MAGIC:
         raise ValueError("not a compound file")
-    shift, small_shift = struct.unpack_from("<HH", data, 30)
+    shift, small_shift = struct.unpack_from("<HH", head, 30)
     size, small = 1 << shift, 1 << small_shift
-    n_fat, first_dir = struct.unpack_from("<I", data, 44)[0], struct.unpack_from("<I", data, 48)[0]
-    cutoff, first_small, _, first_more, _ = struct.unpack_from("<5I", data, 56)
-    sector = lambda k: data[(k + 1) * size : (k + 2) * size]
-    listed = list(struct.unpack_from("<109I", data, 76))
+    n_fat, first_dir = struct.unpack_from("<I", head, 44)[0], struct.unpack_from("<I", head, 48)[0]
+    cutoff, first_small, _, first_more, _ = struct.unpack_from("<5I", head, 56)
+    sector = lambda k: read_at((k + 1) * size, size)
+    listed = list(struct.unpack_from("<109I", head, 76))
     while first_more < 0xFFFFFFFA:
         more = struct.unpack(f"<{size // 4}I", sector(first_more))
         listed += more[:-1]
@@ -78,7 +83,13 @@ def ole_streams(data: bytes):
     entries = [directory[i : i + 128] for i in range(0, len(directory), 128)]
     name = lambda e: e[: max(0, struct.unpack_from("<H", e, 64)[0] - 2)].decode("utf-16le", "ignore")
     place = lambda e: struct.unpack_from("<IQ", e, 116)
-    pool = read(place(entries[0])[0])
+    pool = functools.cache(lambda: read(place(entries[0])[0]))
+
+    def body(first: int, length: int) -> bytes:
+        found = b"".join(pool()[i * small : (i + 1) * small] for i in chain(first, small_fat)) if length < cutoff else read(first)
+        if len(found) < length:
+            raise ValueError("a stream ends early")
+        return found[:length]
 
     todo, done = [(struct.unpack_from("<I", entries[0], 76)[0], "")], set()
     while todo:
@@ -94,15 +105,26 @@ def ole_streams(data: bytes):
         elif e[66] == 2:
             first, length = place(e)
             length &= 0xFFFFFFFF if shift == 9 else 0xFFFFFFFFFFFFFFFF
-            body = b"".join(pool[i * small : (i + 1) * small] for i in chain(first, small_fat)) if length < cutoff else read(first)
-            yield above + name(e), body[:length]
+            yield above + name(e), length, functools.partial(body, first, length)
+
+
+def zip_entries(file):
+    """(path, size, function that reads the bytes) of the parts of an open zipped file, without folders."""
+    z = zipfile.ZipFile(file)
+    for i in z.infolist():
+        if not i.is_dir():
+            yield i.filename, i.file_size, functools.partial(z.read, i)
+
+
+def ole_streams(data: bytes):
+    """(path, bytes) of the streams of a compound file."""
+    for path, _, read in ole_entries(lambda start, n: data[start : start + n]):
+        yield path, read()
 
 
 def zip_streams(data: bytes):
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for n in z.namelist():
-            if not n.endswith("/"):
-                yield n, z.read(n)
+    for path, _, read in zip_entries(io.BytesIO(data)):
+        yield path, read()
 
 
 def streams(files: DataFrame, wanted_only: bool = True) -> DataFrame:

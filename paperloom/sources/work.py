@@ -5,21 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df, written to a new folder in spark.checkpoint.dir and read from there.
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir.
 
-    What comes later starts from the table, also after executors are lost. Only
-    a local session may be without the setting; then a folder of this machine serves.
+    Only a local session may be without the setting; then a folder of this machine serves.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, written to a new folder in spark.checkpoint.dir and read from there.
+
+    What comes later starts from the table, also after executors are lost.
+    """
+    path = f"{new_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
