@@ -7,7 +7,6 @@ ranks, groups and classifies their results is DataFrame code.
 from __future__ import annotations
 
 import codecs
-import re
 import struct
 import zlib
 
@@ -22,10 +21,7 @@ from paperloom.sources.batches import batched
 
 #: Bytes of a payload at which a text may begin.
 MAX_OFFSET = 32
-READING = T.StructType([T.StructField("encoding", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("near", T.StringType()), T.StructField("tail", T.IntegerType())])
-CANDIDATES = T.StructType([T.StructField("tails", T.ArrayType(T.StringType())), T.StructField("readings", T.ArrayType(READING))])
-#: Letters that are printable in every version of Unicode and belong to no segment: text is cut in front of one. Any part of them will do.
-ENDS_SEGMENT = re.compile("[\u00a1-\u00ac\u00ae-\u024f\u0391-\u03a1\u0400-\u0481\u3400-\u4db5\u4e00-\u9fa5]")
+CANDIDATES = T.ArrayType(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("decoded", T.StringType())]))
 RECORDS = "doc_id string, stream string, idx int, offset long, tag_id int, level int, size long, header_size int, payload binary"
 
 
@@ -118,48 +114,41 @@ def register_records(spark: SparkSession, name: str = "stream_records") -> None:
     spark.udtf.register(name, F.udtf(StreamRecords))
 
 
-def _step(data: bytes, at: int, encoding: str) -> int:
-    """Where the codec stands after it has read one character, or skipped bytes that are none, from at on."""
+def step(data: bytes, at: int, encoding: str) -> int:
+    """Where a codec stands after it has read one character, or skipped bytes that are none, from at on."""
     if encoding != "utf-16le" and data[at] < 0x80:
         return at + 1
     decoder = codecs.getincrementaldecoder(encoding)("ignore")
-    for end in range(at + 1, len(data) + 1):
-        decoder.decode(data[at:end] if end == at + 1 else data[end - 1 : end])
+    for k in range(at, len(data)):
+        decoder.decode(data[k : k + 1])
         if not decoder.getstate()[0]:
-            return end
+            return k + 1
     return len(data)
 
 
-def shared_decodings(data: bytes):
-    """Tails of data, each decoded once, and for each encoding and offset what comes before a tail: tails, [(encoding, offset, near, index of its tail)].
+def shared_decodings(data: bytes) -> list[tuple[str, int, str]]:
+    """(encoding, offset, text) of each encoding and each offset that has two bytes.
 
-    near + tail is the payload read from the offset. One step of a codec leads from an offset to a later
-    one, so going back from MAX_OFFSET each offset adds a character to a reading that is there.
-    Behind the last offset readings run together in a few tails. These are cut at the first character that ends every
-    segment, so that what is alike in all readings is decoded, and scored, once.
+    One step of a codec leads from an offset to a later one. So going back from
+    MAX_OFFSET, an offset puts one character before a reading that is there already, and only the few
+    readings that begin behind the last offset are decoded as a whole.
     """
-    tails, readings = [], []
-    limit = min(len(data), MAX_OFFSET)
+    out, limit = [], min(len(data), MAX_OFFSET)
     for encoding, stride in (("utf-16le", 2), ("utf-8", 1), ("cp949", 1)):
-        near: dict[int, tuple[str, int]] = {}
+        texts: dict[int, str] = {}
         for at in range((limit - 1) // stride * stride, -1, -stride):
-            end = _step(data, at, encoding)
-            if end not in near:
-                text = data[end:].decode(encoding, errors="ignore")
-                cut = ENDS_SEGMENT.search(text)
-                cut = cut.start() if cut else len(text)
-                near[end] = text[:cut], len(tails)
-                tails.append(text[cut:])
-            near[at] = data[at:end].decode(encoding, errors="ignore") + near[end][0], near[end][1]
-        readings += [(encoding, at, *near[at]) for at in range(0, limit, stride) if len(data) - at >= 2]
-    return tails, readings
+            end = step(data, at, encoding)
+            if end not in texts:
+                texts[end] = data[end:].decode(encoding, errors="ignore")
+            texts[at] = data[at:end].decode(encoding, errors="ignore") + texts[end]
+        out += [(encoding, at, texts[at]) for at in range(0, limit, stride) if len(data) - at >= 2]
+    return out
 
 
 @F.pandas_udf(CANDIDATES)
-def decodings(payload: pd.Series) -> pd.DataFrame:
-    """Each reading of a payload as UTF-16, UTF-8 or CP949 from each offset, see shared_decodings; null has none."""
-    found = [([], []) if x is None else shared_decodings(x) for x in payload]
-    return pd.DataFrame({"tails": [t for t, _ in found], "readings": [[dict(zip(("encoding", "offset", "near", "tail"), r)) for r in rows] for _, rows in found]})
+def decodings(payload: pd.Series) -> pd.Series:
+    """Each reading of a payload as UTF-16, UTF-8 or CP949 from each offset; null has none."""
+    return payload.map(lambda x: [] if x is None else [dict(zip(("encoding", "offset", "decoded"), r)) for r in shared_decodings(x)])
 
 
 @F.pandas_udf(T.StringType())
@@ -183,21 +172,16 @@ def raw_hex(payload: pd.Series, offset: pd.Series, encoding: pd.Series, text: pd
     return pd.Series([one(*x) for x in zip(payload, offset, encoding, text)])
 
 
-def candidates(found: Column) -> Column:
-    """Of a column of decodings the five best texts (priority, score, offset, size, encoding, text): UTF-16 first, then by score; scores are negative twentieths."""
-    best = F.transform(found["tails"], lambda t: F.array_min(tx.scored_segments(t)))
-    own = lambda c: F.array_min(tx.scored_segments(c["near"]))
-    # A tie goes to the earlier segment, which is that of near.
-    better = lambda x, y: F.when(y.isNull() | (F.struct(x["score"], x["size"]) <= F.struct(y["score"], y["size"])), x["segment"]).otherwise(y["segment"])
-    pairs = F.transform(found["readings"], lambda c: F.struct(c["encoding"].alias("encoding"), c["offset"].alias("offset"), own(c).alias("own"), F.get(best, c["tail"]).alias("far")))
-    told = F.transform(pairs, lambda c: F.struct(c["encoding"].alias("encoding"), c["offset"].alias("offset"), F.coalesce(F.when(c["own"].isNull(), c["far"]["segment"]).otherwise(better(c["own"], c["far"])), F.lit("")).alias("text")))
+def candidates(payload: Column) -> Column:
+    """The five best texts (priority, score, offset, size, encoding, text): UTF-16 first, then by score; scores are negative twentieths."""
+    told = F.transform(decodings(payload), lambda c: F.struct(c["encoding"].alias("encoding"), c["offset"].alias("offset"), tx.meaningful_text(c["decoded"]).alias("text")))
     scored = F.transform(told, lambda c: F.struct(F.when(c["encoding"] == "utf-16le", 0).otherwise(1).alias("priority"), (-tx.text_score(c["text"])).alias("score"), c["offset"].alias("offset"), (-F.length(c["text"])).alias("size"), c["encoding"].alias("encoding"), c["text"].alias("text")))
     return F.slice(F.array_distinct(F.array_sort(F.filter(scored, lambda c: c["score"] < 0))), 1, 5)
 
 
 def record_texts(records: DataFrame) -> DataFrame:
     """records with candidates, best (null unless accepted), direct and said, what a text record says."""
-    df = records.withColumn("_found", decodings("payload")).withColumn("candidates", candidates(F.col("_found"))).drop("_found").withColumn("direct", tx.strip_control_codes(direct_text("payload")))
+    df = records.withColumn("candidates", candidates(F.col("payload"))).withColumn("direct", tx.strip_control_codes(direct_text("payload")))
     best = F.get("candidates", 0)
     df = df.withColumn("best", F.when(-best["score"] >= tx.ACCEPTED, best))
     better = best.isNotNull() & (tx.has_artifacts(F.col("direct")) | (F.length(best["text"]) >= F.length("direct")))
