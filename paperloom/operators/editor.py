@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.operators import edits as ed
 from paperloom.operators import lookups as lk
+from paperloom.operators import sweeps as sw
 from paperloom.operators import windows as wn
 
 RUN = "struct<kind:string,text:string,field_type:string,resolved_text:string,raw:string,character_style:struct<bold:boolean,font_size_pt:double,style_ref:int>>"
@@ -107,8 +108,7 @@ def blocks_of_nodes(tree: DataFrame, original: DataFrame | None = None, by_posit
     if by_position:
         cells = cells.withColumn("column", F.col("k"))
     else:
-        cell = F.struct("row", "k", F.col("colspan").cast("long").alias("colspan"), F.col("rowspan").cast("long").alias("rowspan"), "text")
-        cells = cells.groupBy("doc_id", "at").agg(F.collect_list(cell).alias("cells")).select("doc_id", "at", F.inline(wn.free_columns("cells"))).select("doc_id", "at", "column", "c.*")
+        cells = sw.placed_cells(cells, ["doc_id", "at"])
     cell = F.struct("k", F.struct(F.col("text"), F.col("row").cast("int").alias("row_index"), F.col("column").cast("int").alias("column_index"), F.col("colspan").cast("int").alias("colspan"), F.col("rowspan").cast("int").alias("rowspan"), F.lit(None).cast("int").alias("source_record_index"), F.lit(None).cast("string").alias("raw")).alias("c"))
     rows = cells.groupBy("doc_id", "at", "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.sum("colspan").alias("width"))
     rows = rows.groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(F.struct("row", F.transform("cells", lambda s: s["c"]).alias("cells")))).alias("rows"), F.max("width").alias("columns"))

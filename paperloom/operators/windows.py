@@ -117,23 +117,6 @@ def grid_positions(df: DataFrame, by: list[str], order: list[str], colspan: str,
     return df.withColumn(name, (F.sum(colspan).over(running(by, order)) - F.col(colspan)).cast("long"))
 
 
-def free_columns(cells: str) -> Column:
-    """An array of cells (row, k, colspan, rowspan, …) in the order of row and k, each with the column where it falls.
-
-    That is the first column behind the cells before it in its row that no cell of a row above reaches into.
-    """
-    def step(acc, c):
-        above = F.filter(acc, lambda p: (p["c"]["row"] < c["row"]) & (c["row"] < p["c"]["row"] + p["c"]["rowspan"]))
-        end = lambda p: p["column"] + p["c"]["colspan"]
-        start = F.coalesce(F.array_max(F.transform(F.filter(acc, lambda p: p["c"]["row"] == c["row"]), end)), F.lit(0).cast("long"))
-        open_ = F.filter(F.array_append(F.transform(above, end), start), lambda x: (x >= start) & ~F.exists(above, lambda p: (x >= p["column"]) & (x < end(p))))
-        return F.array_append(acc, F.struct(F.array_min(open_).alias("column"), c.alias("c")))
-
-    ordered_ = F.array_sort(cells)
-    none = F.slice(F.transform(ordered_, lambda c: F.struct(F.lit(0).cast("long").alias("column"), c.alias("c"))), 1, 0)
-    return F.aggregate(ordered_, none, step)
-
-
 def merged_rowspans(df: DataFrame, table: list[str], row: str, merge: Column, name: str = "rowspan") -> DataFrame:
     """Rowspans of vertical merges; takes column_index and colspan.
 

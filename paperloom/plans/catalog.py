@@ -20,7 +20,10 @@ from paperloom.operators import converting as cv
 from paperloom.operators import editor as et
 from paperloom.operators import edits as ed
 from paperloom.operators import importing as im
+from paperloom.operators import giants as gi
 from paperloom.operators import lookups as lk
+from paperloom.operators import rescue as rs
+from paperloom.operators import sweeps as sw
 from paperloom.operators import windows as wn
 from paperloom.sources import containers as ct
 from paperloom.sources import docx_writer as dw
@@ -29,6 +32,9 @@ from paperloom.sources import records as rc
 from paperloom.sources.work import new_folder
 from paperloom.streaming import drafts as dr
 
+# Rows of a block, that is of a task, where documents may be of any size.
+GIANT_ROWS = 8_000
+
 QUERIES = {}
 ORACLE_SQL = {}
 
@@ -149,6 +155,22 @@ def node_ids(spark, sf_dir):
     return wn.node_ids(table(spark, sf_dir, "conversations").withColumn("p", F.substring("role", 1, 1)), ["conv_id"], "p", ["turn"]).select("conv_id", "turn", "node_id")
 
 
+@query("""WITH l AS (SELECT lang, doc_id, CAST(pos AS BIGINT) - 1 AS pos, strlen(line) AS n FROM (SELECT lang, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT lang, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+s AS (SELECT *, sum(CASE WHEN n % 50 = 0 THEN 1 ELSE 0 END) OVER w AS seg, row_number() OVER w AS rn FROM l WINDOW w AS (PARTITION BY lang ORDER BY doc_id, pos))
+SELECT lang, doc_id, pos, CAST(sum(CASE WHEN n % 5 = 0 AND rn > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY rn) AS BIGINT) AS paragraph,
+  CASE WHEN n % 50 <> 0 THEN row_number() OVER (PARTITION BY lang, seg, n % 3 ORDER BY rn) || '.' END AS marker_text,
+  CASE WHEN n % 2 = 0 THEN 'p' ELSE 't' END || row_number() OVER (PARTITION BY lang, n % 2 ORDER BY rn) AS node_id FROM s""")
+def giant_documents(spark, sf_dir):
+    """W1, W2, W11 for documents of any size: all lines of a language are one document."""
+    lines = table(spark, sf_dir, "documents").select("lang", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    n = F.octet_length("line")
+    rows = lines.select("lang", "doc_id", F.col("pos").cast("long").alias("pos"), (n % 5 == 0).alias("opens"), (n % 50 == 0).alias("cuts"), (n % 3).alias("num"), F.when(n % 2 == 0, "p").otherwise("t").alias("kind"))
+    by, order = ["lang"], ["doc_id", "pos"]
+    found = gi.islands(gi.blocked(rows, by, order, GIANT_ROWS), by, order, F.col("opens"), "paragraph")
+    found = gi.node_ids(gi.numbered_markers(found, by, order, F.col("cuts"), ["num"]), by, "kind", order)
+    return found.select("lang", "doc_id", "pos", "paragraph", "marker_text", "node_id")
+
+
 @query("SELECT conv_id, turn FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE turn <= last")
 def trim_trailing_empty(spark, sf_dir):
     """turns behind the last user's count as empty."""
@@ -312,10 +334,9 @@ UNION ALL SELECT g.l_orderkey, g.k, CASE WHEN len(list_filter(t.kept, lambda x:
 SELECT l_orderkey, l_linenumber FROM t WHERE stays""")
 def covered_cells(spark, sf_dir):
     """Cells that no earlier kept cell covers, as the writer of tables keeps them."""
-    n = F.col("l_linenumber").cast("long") - 1
-    cell = F.struct(F.floor(n / 3).alias("row_index"), (n % 3).alias("column_index"), (1 + F.col("l_quantity").cast("long") % 2).alias("colspan"), (1 + F.col("l_partkey") % 2).alias("rowspan"), "l_linenumber")
-    grids = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(cell).alias("cells"))
-    return grids.select("l_orderkey", F.explode(lk.kept_cells("cells")).alias("c")).select("l_orderkey", "c.l_linenumber")
+    n = F.col("l_linenumber").cast("int") - 1
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", F.floor(n / 3).cast("int").alias("row_index"), (n % 3).alias("column_index"), (1 + F.col("l_quantity").cast("int") % 2).alias("colspan"), (1 + F.col("l_partkey") % 2).cast("int").alias("rowspan"), "l_linenumber")
+    return sw.kept_cells(cells, ["l_orderkey"], ("l_linenumber",)).select("l_orderkey", "l_linenumber")
 
 
 @query("""SELECT o_orderkey, row_index, list_transform(list_sort(coalesce(list({'a': l_suppkey, 'b': l_returnflag}) FILTER (WHERE l_orderkey IS NOT NULL), [])), lambda x: x.a || x.b) AS cells
@@ -672,3 +693,23 @@ def office_streams(spark, sf_dir):
     files.write.format("office_files").mode("append").save(folder)
     found = spark.read.format("office_streams").load(folder).where("path = 'BodyText/Section0'")
     return found.select(F.regexp_extract("doc_id", "^([0-9]+)_", 1).alias("doc"), "path", "source_path", "size", F.sha2("payload", 256).alias("sha256"), "error")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CAST(turn AS VARCHAR) ELSE role END AS source_path, text, CASE WHEN turn % 5 <> 2 THEN CAST(turn AS INTEGER) END AS source_index, CASE WHEN turn % 2 = 0 THEN true END AS is_empty,
+  CASE WHEN turn % 7 = 3 THEN NULL ELSE 9 END AS height, CAST((turn % 3 = 0)::INT + (turn % 4 = 1)::INT + (turn % 5 = 2)::INT + (turn % 2 <> 0)::INT + 1 AS INTEGER) AS n_rescued,
+  concat_ws(' ', CASE WHEN turn % 2 <> 0 THEN '$.blocks[0].is_empty:STRING="no"' END, CASE WHEN turn % 5 = 2 THEN '$.blocks[0].source_index:STRING=' || '"' || turn || '"' END,
+    CASE WHEN turn % 7 = 3 THEN '$.blocks[1]:STRING="stray"' ELSE '$.blocks[1].width:DECIMAL=1.5' END, CASE WHEN turn % 4 = 1 THEN '$.header:STRING="none"' END, CASE WHEN turn % 3 = 0 THEN '$.source_path:BIGINT=' || turn END) AS rescued
+FROM conversations""")
+def rescued_fields(spark, sf_dir):
+    """Turns as documents of JSON in which fields have other types than documents give them."""
+    turn = F.col("turn")
+    quoted = F.concat(F.lit('"'), turn.cast("string"), F.lit('"'))
+    json = F.concat(
+        F.lit('{"source_path":'), F.when(turn % 3 == 0, turn.cast("string")).otherwise(F.concat(F.lit('"'), "role", F.lit('"'))), F.lit(',"header":'), F.when(turn % 4 == 1, '"none"').otherwise("null"),
+        F.lit(',"blocks":[{"block_type":"paragraph","source_index":'), F.when(turn % 5 == 2, quoted).otherwise(turn.cast("string")), F.lit(',"is_empty":'), F.when(turn % 2 == 0, "true").otherwise('"no"'),
+        F.lit(',"text_runs":'), F.to_json(F.array(F.struct("text"))), F.lit("},"), F.when(turn % 7 == 3, '"stray"').otherwise('{"block_type":"image","width":1.5,"height":9}'), F.lit("]}"),
+    )
+    docs = rs.documents_of_json(table(spark, sf_dir, "conversations").select("conv_id", "turn", json.alias("json")))
+    block = lambda i: F.get("blocks", i)
+    told = F.sort_array(F.transform("rescued", lambda x: F.concat(x["path"], F.lit(":"), x["found"], F.lit("="), x["value"])))
+    return docs.select("conv_id", "turn", "source_path", F.get(block(0)["text_runs"], 0)["text"].alias("text"), block(0)["source_index"].alias("source_index"), block(0)["is_empty"].alias("is_empty"), block(1)["height"].alias("height"), F.size("rescued").alias("n_rescued"), F.array_join(told, " ").alias("rescued"))

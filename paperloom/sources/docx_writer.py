@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import binary as bn
-from paperloom.operators import lookups as lk
+from paperloom.operators import sweeps as sw
 
 NS = (
     'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" '
@@ -75,7 +75,7 @@ def _docx(blocks: list[dict]) -> bytes:
         if b["kind"] == "paragraph":
             parts[b["region"]].append(_paragraph(b))
         elif b["kind"] == "table" and b["region"] == "body":
-            parts["body"].append(_table(b["cells"] or []))
+            parts["body"].append(_table(sw.kept(b["cells"] or [])))
         elif b["kind"] == "image" and b["region"] == "body" and b["image"]["data"]:
             media.append(bytes(b["image"]["data"]))
             parts["body"].append(_image(len(media), b["image"]))
@@ -106,7 +106,7 @@ def _docx(blocks: list[dict]) -> bytes:
 
 def write_docx(blocks: DataFrame) -> DataFrame:
     """(doc_id, docx): the file of each document. Equal blocks give equal bytes."""
-    cells = F.when(F.col("kind") == "table", lk.kept_cells("cells"))
+    cells = F.when(F.col("kind") == "table", F.array_sort("cells"))
     image = F.when(bn.is_image(F.col("image.data")), F.col("image"))
     row = F.struct("ord", "region", "kind", "runs", "alignment", "list_kind", "list_level", cells.alias("cells"), image.alias("image"))
     usable = F.filter("blocks", lambda b: (b["kind"] != "image") | b["image"].isNotNull())
