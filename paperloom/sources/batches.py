@@ -10,11 +10,13 @@ BYTES = 1 << 24
 
 
 def _size(x) -> int:
-    return len(x) if isinstance(x, bytes) else sum(map(_size, x.values())) if isinstance(x, dict) else 0
+    if isinstance(x, (bytes, str)):
+        return len(x)
+    return sum(map(_size, x.values() if isinstance(x, dict) else x)) if isinstance(x, (dict, list)) else 0
 
 
 def batched(rows, columns):
-    """DataFrames of all rows, in order, cut by number and by the bytes of the binaries in them."""
+    """DataFrames of all rows, in order, cut by number and by the length of the binaries and texts in them."""
     held, size = [], 0
     for r in rows:
         held.append(r)
