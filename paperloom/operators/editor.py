@@ -15,6 +15,7 @@ from paperloom.operators import edits as ed
 from paperloom.operators import lookups as lk
 from paperloom.operators import sweeps as sw
 from paperloom.operators import windows as wn
+from paperloom.sources.work import stored
 
 RUN = "struct<kind:string,text:string,field_type:string,resolved_text:string,raw:string,character_style:struct<bold:boolean,font_size_pt:double,style_ref:int>>"
 CELL = "struct<text:string,row_index:int,column_index:int,colspan:int,rowspan:int,source_record_index:int,raw:string>"
@@ -65,8 +66,9 @@ def nodes(docs: DataFrame) -> DataFrame:
     """The tree of each document's body: doc_id, node_id, path, type, text, bold, size, align, list, level, colspan, rowspan, src, width, height, alt.
 
     Runs that show nothing have no node. Ids count by type in document order.
+    Blocks are written as a work table: the parts of the union would else read the shuffle of docs eight times in each task.
     """
-    body = blocks(docs, ("body",)).select("doc_id", F.array(F.col("ord").cast("long")).alias("path"), "block")
+    body = stored(blocks(docs, ("body",)).select("doc_id", F.array(F.col("ord").cast("long")).alias("path"), "block"), "body")
     kind = F.col("block.list_info.kind")
     paragraph = body.where("block.block_type = 'paragraph'").select("doc_id", "path", F.lit("paragraph").alias("type"), F.coalesce("block.paragraph_style.alignment", F.lit("left")).alias("align"), F.when(kind == "numbered", "numbered").when(kind == "bulleted", "bullet").otherwise("none").alias("list"), F.col("block.list_info.level").alias("level"))
     shown = F.when(F.col("r.kind") == "field", F.col("r.resolved_text")).otherwise(F.col("r.text"))

@@ -70,3 +70,12 @@ def test_files_arrive_once(spark, tmp_path):
     q = ingest.arriving_files(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.kind for r in spark.table("arrived").collect()) == ["docx", "hwpx"]
+
+
+def test_nodes_read_the_documents_once(spark):
+    part = f"struct<blocks:array<{editor.BLOCK}>>"
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.from_json(F.lit('{"block_type":"image","alt_text":"a"}'), editor.BLOCK).alias("block"))
+    docs = rows.groupBy("doc_id").agg(F.collect_list("block").alias("blocks")).select("doc_id", F.lit(None).cast(part).alias("header"), F.lit(None).cast(part).alias("footer"), "blocks")
+    tree = editor.nodes(docs)
+    assert "collect_list" not in tree._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in tree.select("doc_id", "node_id", "alt").collect()) == [(k, "img1", "a") for k in range(3)]
