@@ -41,9 +41,12 @@ def docx_documents(files: DataFrame) -> DataFrame:
     without blocks is left out too. Header and footer are null where nothing in
     them shows or stands as a run.
     """
-    found = cut(ct.docx_blocks(files).where("error is null").repartition("doc_id"))
+    # The files are read once, and what is in images isn't kept.
+    read = ct.docx_parts(files).where("error is null").withColumn("image", F.col("image").dropFields("data"))
+    read = cut(read.repartition("doc_id"))
+    found = read.where("kind <> 'number'").drop("number")
     by = ["doc_id", "ord"]
-    paragraphs = lk.numbering_kind(found.where("kind = 'paragraph'").drop("kind", "cells", "image"), *ct.docx_numbering(files))
+    paragraphs = lk.numbering_kind(found.where("kind = 'paragraph'").drop("kind", "cells", "image"), *ct.numbering_tables(read))
     shown = F.col("text") != ""
     marker = F.when(~F.col("level_text").contains("%") & (F.col("level_text") != ""), F.col("level_text"))
     source = F.when(F.col("num_id").isNotNull(), "paragraph").when(F.col("numbering_ref").isNotNull(), "style")

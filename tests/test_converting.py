@@ -111,3 +111,21 @@ def test_reports(spark):
     report = json.loads(converting.paragraph_report(paragraphs).first().json)
     assert (report["paragraph_count_all"], report["paragraph_count_text_only"], [p["index"] for p in report["paragraphs"]]) == (2, 1, [0, 1])
     assert report["visible_text_paragraphs"] == [{"index": 0, "paragraph_type": "text_paragraph", "text_decoded": "글"}]
+
+
+def test_files_are_written_by_many_tasks_and_read_once(spark):
+    rows = spark.range(400).select(F.col("id").cast("string").alias("doc_id"), F.lit("body").alias("region"), F.lit(0).alias("ord"), F.lit("paragraph").alias("kind"), F.array(F.struct(F.lit("one").alias("text"), F.lit(True).alias("bold"), F.lit(10.0).alias("size"))).alias("runs"))
+    rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("alignment", "string"), ("list_kind", "string"), ("list_level", "int"), ("cells", converting.CELLS), ("image", converting.IMAGE))])
+    # However few bytes they have, all cores take part.
+    written = docx_writer.write_docx(rows).select("doc_id", F.lit("docx").alias("kind"), F.col("docx").alias("content"), F.spark_partition_id().alias("task")).toArrow()
+    assert len(set(written["task"].to_pylist())) == 4
+    files, read = spark.createDataFrame(written).drop("task"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert converting.docx_documents(files.mapInArrow(seen, files.schema)).count() == 400
+    # Once for what is in them, and once for their names.
+    assert 400 <= read.value <= 800
